@@ -5,27 +5,54 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rillgraph.llm import mixing, quality, sql
+from rillgraph.llm import lines, mixing, packing, quality, simhash, sql, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to bit-packed files and read back."""
+    return tokens.read(tokens.write(_documents(spark, sf_dir)))
+
+
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines found in many documents dropped from all of them."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    cut = lines.applied(docs, lines.bitmaps(docs))
+    return cut.select("__row.doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256"))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources mixed to their target weights."""
     return mixing.mix(_documents(spark, sf_dir))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints and components of every document."""
+    return simhash.grouped(_documents(spark, sf_dir))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule measures and verdicts of every document."""
     return quality.verdicts(_documents(spark, sf_dir))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens packed into sequences."""
+    return packing.packed(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tokens": op1_tokens,
+    "op3_lines": op3_lines,
     "op4_mix": op4_mix,
+    "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
+    "op8_packing": op8_packing,
 }
 
 
