@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,3 +98,28 @@ def rows(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[li
                 held, chars = [], 0
         if held:
             yield held
+
+
+#: Bits of the filter in likely() at most: 8 MB, which is what its broadcast is bounded by.
+FILTER_BITS = 1 << 26
+
+
+def likely(df: DataFrame, key: Column, members: DataFrame) -> DataFrame:
+    """Those rows of df whose key (long) is one of the members (one column), and a few others: the exact join that follows
+    need not shuffle the rest. The filter has 32 bits for each member, within FILTER_BITS; when it is too full to tell, more rows stay.
+    """
+    hashed = members.select(F.xxhash64(F.col(members.columns[0])).alias("h"))
+    bits = min(FILTER_BITS, max(1 << 15, 1 << (32 * hashed.count()).bit_length()))
+    place = F.pmod("h", F.lit(bits))
+    held = hashed.groupBy(F.floor(place / (1 << 15)).alias("k")).agg(F.bitmap_construct_agg(F.pmod(place, F.lit(1 << 15))).alias("b"))
+    filled = np.zeros(bits // 8, np.uint8)
+    for k, b in held.collect():
+        filled[k << 12 : (k + 1) << 12] = np.frombuffer(b, np.uint8)
+    shared = df.sparkSession.sparkContext.broadcast(filled)
+
+    @F.arrow_udf("boolean")
+    def known(h: pa.Array) -> pa.Array:
+        at = h.to_numpy(zero_copy_only=False) % bits
+        return pa.array((shared.value[at >> 3] >> (at & 7) & 1).astype(bool))
+
+    return df.filter(known(F.xxhash64(key)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillgraph.llm import lines, mixing, packing, quality, simhash, sql, tokens
+from rillgraph.llm import lines, mixing, packing, prefix, quality, simhash, sql, superkmers, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,18 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_documents(spark, sf_dir))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated windows of words removed from every document."""
+    found = superkmers.removed(_documents(spark, sf_dir))
+    return found.select(F.col("doc").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated strings of bytes removed from every document."""
+    found = prefix.removed(_documents(spark, sf_dir))
+    return found.select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tokens": op1_tokens,
     "op3_lines": op3_lines,
@@ -53,6 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
+    "op9_substrings": op9_substrings,
+    "op10_suffixes": op10_suffixes,
 }
 
 

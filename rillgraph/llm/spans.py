@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillgraph.llm.common import likely
+
 SPANS = "doc long, tie long, spans binary"
 #: Stands for a null id, which comes before all others.
 NULL_ID = -(1 << 63)
@@ -36,6 +38,14 @@ def joined(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> Dat
     return both.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc"), "text", "spans")
 
 
+def only(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc, tie, text, list of spans) of those of identified() that have spans."""
+    each = found.groupBy("doc", "tie").agg(F.collect_list("spans").alias("spans")).withColumnsRenamed({"doc": "d", "tie": "t"})
+    few = likely(texts, F.col("doc"), found.select("doc").distinct())
+    both = few.join(each, (F.col("doc") == F.col("d")) & (F.col("tie") == F.col("t")))
+    return both.select("doc", "tie", "text", "spans")
+
+
 def of_places(docs: np.ndarray, ties: np.ndarray, places: np.ndarray) -> pa.Table:
     """SPANS of single places; spans are pairs (first, end) of runs as 64-bit integers."""
     order = np.lexsort((places, ties, docs))

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -98,7 +99,7 @@ def _opened(block: bytes) -> tuple:
 
 
 def _cut(window: int, gram: int, buckets: int):
-    """Blocks for buckets (bucket, block) and settled windows (doc, tie, spans) of a task's documents (doc, tie, text)."""
+    """Of a task's documents (doc, tie, text): blocks for buckets, and, by any bucket, spans (doc, tie, spans) of settled windows."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in rows(batches, AT_ONCE):
@@ -120,7 +121,7 @@ def _cut(window: int, gram: int, buckets: int):
             for piece, own in first.items():
                 groups.setdefault((own[0] * buckets) >> 64, []).append((*own, piece))
             out = [(k, _block(g), None, None, None) for k, g in groups.items()]
-            out += [(None, None, *d, np.array(x, "<i8").tobytes()) for d, x in settled.items()]
+            out += [(d[0] % buckets, None, *d, np.array(x, "<i8").tobytes()) for d, x in settled.items()]
             yield _rows(out)
 
     return cut
@@ -165,7 +166,10 @@ def _counted(window: int):
     """Spans of repeated windows (doc, tie, spans) of a bucket's blocks."""
 
     def counted(group: pa.Table) -> pa.Table:
-        parts = [_opened(b) for b in group["block"].to_pylist()]
+        settled = group.filter(pc.is_null(group["block"])).select(["doc", "tie", "spans"])
+        parts = [_opened(b) for b in group["block"].to_pylist() if b is not None]
+        if not parts:
+            return settled
         hashes, docs, ties, starts, manys = (np.concatenate([p[k] for p in parts]) for k in range(5))
         pieces = [x for p in parts for x in p[5]]
         found = [(np.zeros(0, np.int64),) * 3]
@@ -178,7 +182,7 @@ def _counted(window: int):
             own = order[edges[k] : edges[j]]
             found.append(repeated(docs[own], ties[own], starts[own], manys[own], [pieces[i] for i in own.tolist()], window))
             k = j
-        return spans.of_places(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        return pa.concat_tables([settled, spans.of_places(*(np.concatenate(x) for x in zip(*found, strict=True)))])
 
     return counted
 
@@ -186,10 +190,8 @@ def _counted(window: int):
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc, tie, spans): for documents with windows that start earlier elsewhere, runs of such windows, which may overlap."""
     n = 4 * partitions(docs.sparkSession)
-    cut = table(spans.identified(docs, id_col, text_col).mapInArrow(_cut(window, gram, n), "bucket int, block binary, doc long, tie long, spans binary"), "superkmers")
-    blocks = cut.filter("bucket is not null").select("bucket", "block")
-    found = blocks.groupBy("bucket").applyInArrow(_counted(window), spans.SPANS)
-    return found.unionByName(cut.filter("bucket is null").select("doc", "tie", "spans"))
+    cut = spans.identified(docs, id_col, text_col).mapInArrow(_cut(window, gram, n), "bucket int, block binary, doc long, tie long, spans binary")
+    return table(cut.groupBy("bucket").applyInArrow(_counted(window), spans.SPANS), "repeats")
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from rillgraph.llm import superkmers
+from rillgraph.llm import common, prefix, superkmers
 
 SCHEMA = "doc_id long, text string, spans int, doc string, tie int"
 
@@ -86,3 +86,43 @@ def test_least_and_runs():
         assert superkmers.least(x, n).tolist() == [k + int(np.argmin(x[k : k + n])) for k in range(300 - n + 1)]
     start, many, _ = superkmers.runs(x, 20, 3)
     assert many.sum() == 281 and (start == np.cumsum(many) - many).all()
+
+
+def runs_of(hit):
+    return sum(1 for k in hit if k - 1 not in hit)
+
+
+@pytest.mark.parametrize("at_once", [300, 12 << 20])
+def test_bytes(spark, monkeypatch, at_once):
+    monkeypatch.setattr(prefix, "AT_ONCE", at_once)
+    chance = random.Random(8)
+    given = some(chance, [f"v{k}é" for k in range(60)], 50, 3000)
+    given += [(5000, "a" * 450), (5001, "ab" * 200), (5002, "x" * 99), (5003, "y" * 100), (5004, "y" * 101), (5005, "z" * 60 + "a" * 100 + "z" * 60)]
+    got = prefix.removed(frame(spark, given).repartition(4)).collect()
+    want = brute(given, lambda t: t.encode(), 100, bytes)
+    assert sorted(((r.doc, r.n_bytes, r.n_removed, bytes(r.kept)) for r in got), key=str) == want
+
+
+def test_byte_spans(spark):
+    p, q = "".join(chr(97 + k % 7) + str(k) for k in range(60)), "".join(chr(107 + k % 5) + str(k * 3) for k in range(60))
+    got = prefix.removed(frame(spark, [(1, p), (2, q), (3, f"start {p} middle {q} end"), (3, f"start {p} middle {q} end")])).collect()
+    assert sorted((r.doc, r.n_spans, bytes(r.kept).decode()) for r in got) == [(1, 0, p), (2, 0, q), *[(3, 2, "start  middle  end")] * 2]
+    assert prefix.removed(frame(spark, [(1, "")]).limit(0)).count() == 0
+
+
+def test_leads():
+    chance = np.random.default_rng(1)
+    for top, n in ((3, 5), (1000, 53), (2, 53), (1, 9)):
+        x = chance.integers(0, top, 400).astype(np.uint64)
+        want = [k + int(np.argmin(x[k : k + n])) for k in range(400 - n + 1)]
+        start, lead = prefix.led(x, n)
+        assert np.repeat(lead, np.diff(np.append(start, len(want)))).tolist() == want
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 1 << 15])
+def test_likely_keeps_all_members(spark, monkeypatch, bits):
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
+    df = spark.range(20_000)
+    got = {r.id for r in common.likely(df, df.id, spark.range(0, 20_000, 10)).collect()}
+    assert got >= set(range(0, 20_000, 10)) and len(got) < 5000
+    assert common.likely(df, df.id, df.limit(0)).count() == 0
