@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillgraph.llm import lines, mixing, packing, prefix, quality, simhash, sql, superkmers, tokens
+from rillgraph.llm import fingerprint, lines, mixing, packing, prefix, quality, simhash, sql, superkmers, tokens, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(tokens.write(_documents(spark, sf_dir)))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprint.compared(_documents(spark, sf_dir))
+
+
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines found in many documents dropped from all of them."""
     docs = _documents(spark, sf_dir).select("doc_id", "text")
@@ -31,6 +36,11 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives, equal payloads once, and read back."""
+    return warc.read(warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints and components of every document."""
     return simhash.grouped(_documents(spark, sf_dir))
@@ -60,8 +70,10 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tokens": op1_tokens,
+    "op2_fingerprints": op2_fingerprints,
     "op3_lines": op3_lines,
     "op4_mix": op4_mix,
+    "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,

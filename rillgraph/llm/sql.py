@@ -71,4 +71,13 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM marked GROUP BY doc_id
 """
 
-ORACLES: dict[str, str] = {"op3_lines": OP3, "op4_mix": OP4, "op7_quality": OP7}
+OP5 = """
+WITH given AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+kept AS (SELECT d, max(page_id) AS keeper FROM given WHERE n >= 1000 GROUP BY d)
+SELECT page_id, n::BIGINT AS payload_bytes, given.d AS payload_digest,
+  CASE WHEN page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < keeper THEN keeper END AS refers_to
+FROM given LEFT JOIN kept ON given.d = kept.d AND n >= 1000
+"""
+
+ORACLES: dict[str, str] = {"op3_lines": OP3, "op4_mix": OP4, "op5_warc": OP5, "op7_quality": OP7}
