@@ -79,3 +79,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rest = F.col("target") - epochs * F.col("source_size")
     more = (epochs < MAX_EPOCHS) & (F.col("base") + F.col("before") + F.col("size") / 2 <= rest)
     return summed.select(F.col("__id").alias(id_col), "size", "source_size", "target", (F.col("size") * (epochs + more.cast("long"))).alias("taken"))
+
+
+def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs as the mix takes them: a row for each copy taken, none for documents not taken, with their own columns.
+
+    Rows of equal ids are one document: each is taken as often as that of them which is taken most.
+    """
+    taken = mix(docs, id_col, text_col, source_col).withColumnRenamed(id_col, "__i")
+    copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
+    copies = taken.select("__i", copies.alias("__n")).groupBy("__i").agg(F.max("__n").alias("__n")).filter("__n > 0")
+    named = [F.col(f"__row.`{c}`").alias(c) for c in docs.columns]
+    given = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(f"`{id_col}`").alias("__id"))
+    both = given.join(copies, F.col("__id").eqNullSafe(F.col("__i")))
+    return both.select("__row", F.explode(F.sequence(F.lit(1), "__n"))).select(*named)
