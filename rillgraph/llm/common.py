@@ -87,17 +87,17 @@ def ascii_lower(text: Column) -> Column:
 
 def rows(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[list[tuple]]:
     """Rows as tuples, in lists whose strings have about `limit` characters together (one row at least)."""
+    held, chars = [], 0
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        held, chars = [], 0
-        for row in zip(*columns, strict=True):
-            held.append(row)
-            chars += sum(len(x) for x in row if isinstance(x, (str, bytes)))
-            if chars >= limit:
-                yield held
-                held, chars = [], 0
-        if held:
-            yield held
+        for k in range(0, batch.num_rows, 256):  # a few rows at a time become Python objects
+            for row in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns), strict=True):
+                held.append(row)
+                chars += sum(len(x) for x in row if isinstance(x, (str, bytes)))
+                if chars >= limit:
+                    yield held
+                    held, chars = [], 0
+    if held:
+        yield held
 
 
 #: Bits of the filter in likely() at most: 8 MB, which is what its broadcast is bounded by.

@@ -30,8 +30,8 @@ from rillgraph.llm import spans
 from rillgraph.llm.common import partitions, rows, table
 
 LENGTH, GRAM, HALF = 100, 48, 64
-#: Characters of text that a task looks through at once, about.
-AT_ONCE = 12 << 20
+#: Characters of text that a task looks through at once, about: for runs, and for single positions, which are many more rows.
+AT_ONCE, SINGLY_AT_ONCE = 3 << 20, 1 << 20
 
 _RANKS = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -206,7 +206,7 @@ def _singles(buckets: int):
     """Rows of single positions from (doc, tie, text, spans)."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in rows(batches, AT_ONCE):
+        for held in rows(batches, SINGLY_AT_ONCE):
             parts = []
             for doc, tie, text, found in sorted(held, key=lambda x: x[:2]):
                 start, many, a, b = run_rows(text.encode("utf-8", "surrogatepass"), singly=True)
@@ -226,7 +226,7 @@ def _sorted_singles(group: pa.Table) -> pa.Table:
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, tie, spans): runs of positions from which LENGTH bytes also start earlier."""
-    n = 4 * partitions(docs.sparkSession)
+    n = 8 * partitions(docs.sparkSession)
     texts = spans.identified(docs, id_col, text_col)
     runs = texts.mapInArrow(_runs(n), SENT).groupBy("bucket").applyInArrow(_sorted_runs, f"{spans.SPANS}, todo boolean")
     ranked = table(runs, "ranked")

@@ -95,6 +95,7 @@ def runs_of(hit):
 @pytest.mark.parametrize("at_once", [300, 12 << 20])
 def test_bytes(spark, monkeypatch, at_once):
     monkeypatch.setattr(prefix, "AT_ONCE", at_once)
+    monkeypatch.setattr(prefix, "SINGLY_AT_ONCE", at_once)
     chance = random.Random(8)
     given = some(chance, [f"v{k}é" for k in range(60)], 50, 3000)
     given += [(5000, "a" * 450), (5001, "ab" * 200), (5002, "x" * 99), (5003, "y" * 100), (5004, "y" * 101), (5005, "z" * 60 + "a" * 100 + "z" * 60)]
