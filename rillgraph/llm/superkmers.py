@@ -26,7 +26,7 @@ from rillgraph.llm.common import partitions, rows, table
 
 WINDOW, GRAM = 20, 3
 #: Characters of text that a task looks through at once, about, and words whose hashes a worker remembers.
-AT_ONCE, REMEMBERED = 24 << 20, 1_000_000
+AT_ONCE, REMEMBERED = 6 << 20, 500_000
 #: Windows that a bucket has in memory at once, about; more are divided by their minimiser's hash first.
 BUCKET_WINDOWS = 2_000_000
 
@@ -39,8 +39,9 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each word."""
     if len(_known) > REMEMBERED:
         _known.clear()
-    for w in set(words) - _known.keys():
-        _known[w] = xxhash.xxh3_64_intdigest(w)
+    for w in set(words):
+        if w not in _known:
+            _known[w] = xxhash.xxh3_64_intdigest(w)
     return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
 
 
