@@ -26,9 +26,9 @@ from rillgraph.llm.common import partitions, rows, table
 
 WINDOW, GRAM = 20, 3
 #: Characters of text that a task looks through at once, about, and words whose hashes a worker remembers.
-AT_ONCE, REMEMBERED = 6 << 20, 500_000
+AT_ONCE, REMEMBERED = 8 << 20, 500_000
 #: Windows that a bucket has in memory at once, about; more are divided by their minimiser's hash first.
-BUCKET_WINDOWS = 2_000_000
+BUCKET_WINDOWS = 500_000
 
 _known: dict[bytes, int] = {}
 #: Words of a text; and what str.split() splits at besides.
@@ -137,9 +137,11 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 def repeated(docs: np.ndarray, ties: np.ndarray, starts: np.ndarray, manys: np.ndarray, pieces: list[bytes], window: int) -> tuple[np.ndarray, ...]:
     """doc, tie and place of each window of the super-k-mers whose words start earlier elsewhere in them."""
     words = b" ".join(pieces).split()
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))  # equal for equal words only
     sizes = manys + window - 1
     at = np.cumsum(sizes) - sizes  # each super-k-mer's first word
-    rolls = rolled(word_hashes(words), window)
+    rolls = rolled(word_hashes(list(number))[ids], window)
     of = np.repeat(np.arange(len(pieces)), manys)
     inner = np.arange(len(of)) - np.repeat(np.cumsum(manys) - manys, manys)
     word, place = at[of] + inner, starts[of] + inner
@@ -149,17 +151,22 @@ def repeated(docs: np.ndarray, ties: np.ndarray, starts: np.ndarray, manys: np.n
     same = np.concatenate([[False], roll[1:] == roll[:-1]])
     # those of equal hash are compared, word for word, with the earliest of them
     heads = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+    drop, others = np.zeros(len(same), bool), {}
+    elsewhere = lambda i, j: (doc[i] != doc[j]) | (tie[i] != tie[j]) | (place[i] != place[j])  # noqa: E731  the same row again isn't earlier
     twice = np.nonzero(same)[0]
-    others: dict[int, list[int]] = {}
-    drop = np.zeros(len(same), bool)
-    for i, h in zip(twice.tolist(), heads[twice].tolist(), strict=True):
-        own = words[word[i] : word[i] + window]
-        for j in (h, *others.get(h, ())):
-            if words[word[j] : word[j] + window] == own:
-                drop[i] = (doc[i], tie[i], place[i]) != (doc[j], tie[j], place[j])  # the same row again isn't earlier
-                break
-        else:
-            others.setdefault(h, []).append(i)
+    for k in range(0, len(twice), 1 << 16):
+        i = twice[k : k + (1 << 16)]
+        equal = np.ones(len(i), bool)
+        for w in range(window):
+            equal &= ids[word[i] + w] == ids[word[heads[i]] + w]
+        drop[i] = equal & elsewhere(i, heads[i])
+        for x in i[~equal].tolist():  # another sequence of equal hash
+            for j in others.setdefault(int(heads[x]), []):
+                if (ids[word[x] : word[x] + window] == ids[word[j] : word[j] + window]).all():
+                    drop[x] = elsewhere(x, j)
+                    break
+            else:
+                others[int(heads[x])].append(x)
     return doc[drop], tie[drop], place[drop]
 
 
@@ -173,12 +180,31 @@ def _counted(window: int):
             return settled
         hashes, docs, ties, starts, manys = (np.concatenate([p[k] for p in parts]) for k in range(5))
         pieces = [x for p in parts for x in p[5]]
-        found = [(np.zeros(0, np.int64),) * 3]
-        order = np.argsort(hashes, kind="stable")
+        del parts
+        # in order of minimisers, then documents; of equal super-k-mers the first stays, all windows of the others are repeats
+        order = np.lexsort((starts, ties, docs, hashes))
+        whole, stay, first, last = [], [], {}, None
+        for i, h in zip(order.tolist(), hashes[order].tolist(), strict=True):
+            if h != last:
+                first, last = {}, h
+            j = first.setdefault(pieces[i], i)
+            if j == i:
+                stay.append(i)
+            elif (docs[i], ties[i], starts[i]) != (docs[j], ties[j], starts[j]):
+                whole.append(i)
+        # a super-k-mer has no window twice, and where no other shares its minimiser, all its windows are new
+        order, whole = np.array(stay, np.int64), np.array(whole, np.int64)
+        shared = np.zeros(len(order), bool)
+        shared[1:] = hashes[order[1:]] == hashes[order[:-1]]
+        shared[:-1] |= shared[1:]
+        order = order[shared]
         edges = np.append(np.concatenate([[0], np.nonzero(np.diff(hashes[order]))[0] + 1]), len(order))
         load = np.concatenate([[0], np.cumsum(manys[order])])
+        of = np.repeat(whole, manys[whole])
+        inner = np.arange(len(of)) - np.repeat(np.cumsum(manys[whole]) - manys[whole], manys[whole])
+        found = [(docs[of], ties[of], starts[of] + inner)]
         k = 0
-        while k < len(edges) - 1:  # whole minimisers together, as many as memory allows
+        while k < len(edges) - 1 and len(order):  # whole minimisers together, as many as memory allows
             j = max(k + 1, int(np.searchsorted(load[edges], load[edges[k]] + BUCKET_WINDOWS, "right")) - 1)
             own = order[edges[k] : edges[j]]
             found.append(repeated(docs[own], ties[own], starts[own], manys[own], [pieces[i] for i in own.tolist()], window))
@@ -190,7 +216,7 @@ def _counted(window: int):
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc, tie, spans): for documents with windows that start earlier elsewhere, runs of such windows, which may overlap."""
-    n = 4 * partitions(docs.sparkSession)
+    n = 2 * partitions(docs.sparkSession)
     cut = spans.identified(docs, id_col, text_col).mapInArrow(_cut(window, gram, n), "bucket int, block binary, doc long, tie long, spans binary")
     return table(cut.groupBy("bucket").applyInArrow(_counted(window), spans.SPANS), "repeats")
 
