@@ -54,7 +54,8 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     base = base.select(*kept, "__text", F.size("__w").cast("long").alias("n_words"), repeats.alias("n_repeat_words"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     if carry:
-        return base.select("__row", "__host", failed.alias("__failed"))
+        # a generated column: filters on it stay above, while those on a plain one would be taken apart into the windows' lambdas
+        return base.select("__row", "__host", F.explode(F.array(failed)).alias("__failed"))
     lines = F.filter(F.split("__text", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     return base.select(
         *kept,
