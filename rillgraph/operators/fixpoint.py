@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rillgraph.sources.shared import new_path
 
@@ -34,8 +35,6 @@ def fixpoint(
         df = df.select(*seed.columns)
         if not rest:
             return df.distinct()
-        import pyspark.sql.functions as F
-
         best = df.groupBy(*key).agg(F.min(F.struct(*rest)).alias("__best"))
         return best.select(*key, "__best.*").select(*seed.columns)
 
@@ -62,8 +61,15 @@ def fixpoint(
 
 
 def closure(edges: DataFrame, seeds: DataFrame | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
-    """Pairs (src, dst) joined by a path of one edge or more, from the seeds (column src) or from everywhere."""
+    """Pairs (src, dst) joined by a path of one edge or more, from the seeds (column src) or from everywhere.
+
+    From seeds, paths grow by an edge a round. From everywhere they double: what the last round found, of more than half of the greatest
+    length so far, is followed by all that is known, so rounds are the logarithm of the longest path.
+    """
     first = edges.select(src, dst).distinct()
-    start = first if seeds is None else first.join(seeds.select(src).distinct(), src, "left_semi")
+    if seeds is None:
+        ahead = lambda full: full.withColumnsRenamed({src: "__mid", dst: "__to"})
+        return fixpoint(first, lambda new, full: new.join(ahead(full), F.col(dst) == F.col("__mid")).select(src, F.col("__to").alias(dst)), label="closure")
     hop = first.withColumnsRenamed({src: "__mid", dst: "__to"})
-    return fixpoint(start, lambda new, _: new.join(hop, new[dst] == hop["__mid"]).select(src, hop["__to"].alias(dst)))
+    start = first.join(seeds.select(src).distinct(), src, "left_semi")
+    return fixpoint(start, lambda new, _: new.join(hop, new[dst] == hop["__mid"]).select(src, hop["__to"].alias(dst)), label="closure")
