@@ -8,6 +8,7 @@ encoded whole.
 from __future__ import annotations
 
 from functools import cache
+from itertools import chain
 
 import numpy as np
 
@@ -38,12 +39,12 @@ class Encoder:
         self.ids, self.first, self.many, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]  # without places in the text
 
     def _learn(self, new: list[bytes]) -> None:
         ids = self._whole([w.decode("utf-8", "surrogatepass") for w in new])
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum()))
         k, n = len(self.known), len(new)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -60,15 +61,15 @@ class Encoder:
         if not self.split or any("<|" in t for t in texts):
             ids = self._whole(texts)
             lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            return np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum())), lens
+            return np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())), lens
         words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
         if len(self.known) > REMEMBERED:
             self._clear()
-        new = set().union(*words) - self.known.keys()
-        if new:
-            self._learn(list(new))
+        known = self.known
+        if new := [w for w in set(chain.from_iterable(words)) if w not in known]:
+            self._learn(new)
         counts = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter((k for w in words for k in map(self.known.__getitem__, w)), np.int64, int(counts.sum()))
+        at = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
         many = self.many[at]
         ends = np.cumsum(many)
         out = self.ids[np.repeat(self.first[at] - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)]
