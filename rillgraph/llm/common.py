@@ -69,6 +69,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of an Arrow batch at most where whole texts go to Python: a batch is held twice outside the heap.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have BATCH_ROWS rows at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system and path of a URI (file, hdfs, s3 and what else Arrow opens)."""
     return fs.FileSystem.from_uri(uri)

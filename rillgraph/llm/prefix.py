@@ -31,7 +31,7 @@ from rillgraph.llm.common import partitions, rows, table
 
 LENGTH, GRAM, HALF = 100, 48, 64
 #: Characters of text that a task looks through at once, about: for runs, and for single positions, which are many more rows.
-AT_ONCE, SINGLY_AT_ONCE = 3 << 20, 1 << 20
+AT_ONCE, SINGLY_AT_ONCE = 2 << 20, 1 << 20
 
 _RANKS = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)

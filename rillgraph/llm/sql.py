@@ -80,4 +80,37 @@ SELECT page_id, n::BIGINT AS payload_bytes, given.d AS payload_digest,
 FROM given LEFT JOIN kept ON given.d = kept.d AND n >= 1000
 """
 
-ORACLES: dict[str, str] = {"op3_lines": OP3, "op4_mix": OP4, "op5_warc": OP5, "op7_quality": OP7}
+OP9 = rf"""
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+numbered AS (SELECT doc_id, w, unnest(range(len(w) - 19)) AS i FROM split WHERE len(w) >= 20),
+windows AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 20], ' ') AS s FROM numbered),
+repeats AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM windows) WHERE r > 1),
+covered AS (SELECT DISTINCT doc_id, i + k AS p FROM repeats, range(20) AS t(k)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM split),
+marked AS (SELECT words.*, c.p IS NOT NULL AS gone FROM words LEFT JOIN covered c ON c.doc_id = words.doc_id AND c.p = words.p),
+kept AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n, coalesce(string_agg(word, ' ' ORDER BY p) FILTER (NOT gone), '') AS t FROM marked GROUP BY doc_id)
+SELECT s.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM split s LEFT JOIN kept USING (doc_id)
+"""
+
+OP10 = """
+WITH given AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+numbered AS (SELECT doc_id, h, unnest(range(n - 99)) AS i FROM given WHERE n >= 100),
+strings AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM numbered),
+repeats AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM strings) WHERE r > 1),
+runs AS (SELECT doc_id, i, i > 100 + max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS apart FROM repeats),
+numbers AS (SELECT doc_id, i, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM runs),
+spans AS (SELECT doc_id, k, min(i) AS a, max(i) + 100 AS b FROM numbers GROUP BY doc_id, k),
+edges AS (
+  SELECT doc_id, h, n, coalesce(list(a ORDER BY a) FILTER (a IS NOT NULL), []) AS a, coalesce(list(b ORDER BY a) FILTER (a IS NOT NULL), []) AS b
+  FROM given LEFT JOIN spans USING (doc_id) GROUP BY doc_id, h, n),
+parts AS (
+  SELECT doc_id, n, a, b, array_to_string(list_transform(range(len(a) + 1), lambda j:
+    substr(h, 2 * CASE WHEN j = 0 THEN 0 ELSE b[j] END + 1, 2 * (CASE WHEN j = len(a) THEN n ELSE a[j + 1] END - CASE WHEN j = 0 THEN 0 ELSE b[j] END))), '') AS kept
+  FROM edges)
+SELECT doc_id, n::BIGINT AS n_bytes, n - (length(kept) // 2)::BIGINT AS n_removed, len(a)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM parts
+"""
+
+ORACLES: dict[str, str] = {"op3_lines": OP3, "op4_mix": OP4, "op5_warc": OP5, "op7_quality": OP7, "op9_substrings": OP9, "op10_suffixes": OP10}
