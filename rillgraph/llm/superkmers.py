@@ -26,7 +26,7 @@ from rillgraph.llm.common import partitions, rows, table
 
 WINDOW, GRAM = 20, 3
 #: Characters of text that a task looks through at once, about, and words whose hashes a worker remembers.
-AT_ONCE, REMEMBERED = 8 << 20, 500_000
+AT_ONCE, REMEMBERED = 5 << 20, 300_000
 #: Windows that a bucket has in memory at once, about; more are divided by their minimiser's hash first.
 BUCKET_WINDOWS = 500_000
 
