@@ -51,7 +51,8 @@ def unlike(docs: DataFrame, digests: DataFrame, id_col: str = "doc_id", text_col
             made = [canonical(t) for _, t in held]
             yield pa.RecordBatch.from_pydict({"digest": [digest(x, digits) for x in made], "form": made})
 
-    several = digests.groupBy("digest").count().filter("count > 1").select(F.col("digest").alias("d"))
+    # a table of its own, so that a digest with very many documents can be split in the join
+    several = table(digests.groupBy("digest").count().filter("count > 1").select(F.col("digest").alias("d")), "several")
     members = digests.join(several, F.col("digest") == F.col("d"), "left_semi").select(F.coalesce("id", F.lit(0)).alias("id")).distinct()
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), _text(text_col).alias("text"))
     found = likely(texts, F.coalesce("id", F.lit(0)), table(members, "members")).mapInArrow(forms, "digest string, form string")
