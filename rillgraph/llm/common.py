@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_made: list[tuple[SparkSession, str]] = []
+#: Scratch folders made so far and not deleted.
+made: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -32,7 +33,7 @@ def shared_root(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder's URI below the shared folder; it goes with sweep() or at the driver's end."""
     path = f"{shared_root(spark)}/rillgraph/{label}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    made.append((spark, path))
     return path
 
 
@@ -43,14 +44,15 @@ def drop(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def sweep() -> None:
-    """Delete all scratch folders made so far. Only for callers that have written out what reads them."""
-    while _made:
-        spark, path = _made.pop()
-        try:
-            drop(spark, path)
-        except Exception:  # noqa: BLE001  the session may have ended; the folder's owner clears it then
-            pass
+def sweep(which: list[tuple[SparkSession, str]] | None = None) -> None:
+    """Delete those scratch folders, or all. Only for callers that have written out what reads them."""
+    for one in list(made if which is None else which):
+        if one in made:
+            made.remove(one)
+            try:
+                drop(*one)
+            except Exception:  # noqa: BLE001  the session may have ended; the folder's owner clears it then
+                pass
 
 
 atexit.register(sweep)
