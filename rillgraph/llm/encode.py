@@ -32,9 +32,10 @@ class Encoder:
 
         self.tokenizer, self.split = Tokenizer.from_file(path), split
         self.size = self.tokenizer.get_vocab_size()
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
+        """Give up the words remembered, as a task does at its end: idle workers should hold little."""
         self.known: dict[bytes, int] = {}
         self.ids, self.first, self.many, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
@@ -64,7 +65,7 @@ class Encoder:
             return np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())), lens
         words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
         if len(self.known) > REMEMBERED:
-            self._clear()
+            self.forget()
         known = self.known
         if new := [w for w in set(chain.from_iterable(words)) if w not in known]:
             self._learn(new)

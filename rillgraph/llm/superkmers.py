@@ -124,6 +124,7 @@ def _cut(window: int, gram: int, buckets: int):
             out = [(k, _block(g), None, None, None) for k, g in groups.items()]
             out += [(d[0] % buckets, None, *d, np.array(x, "<i8").tobytes()) for d, x in settled.items()]
             yield _rows(out)
+        _known.clear()  # idle workers should hold little
 
     return cut
 
@@ -209,6 +210,7 @@ def _counted(window: int):
             own = order[edges[k] : edges[j]]
             found.append(repeated(docs[own], ties[own], starts[own], manys[own], [pieces[i] for i in own.tolist()], window))
             k = j
+        _known.clear()
         return pa.concat_tables([settled, spans.of_places(*(np.concatenate(x) for x in zip(*found, strict=True)))])
 
     return counted
