@@ -170,7 +170,7 @@ def external_effects(calls: DataFrame, effects: DataFrame) -> dict[str, DataFram
     Effects: copy_arg0 (result is argument 0), store_arg1 (argument 1 stored through argument 0), load_store (what
     argument 1 points to copied to what argument 0 points to, as memcpy does), alloc (result points to a new object, the call).
     """
-    named = calls.join(F.broadcast(effects), "name")
+    named = calls.join(effects, "name")
     by = lambda pos: named.filter(F.col("pos") == pos).select("cs", "effect", F.col("node").alias(f"n{pos}".replace("-1", "r")))
     zero, one, result = by(0), by(1), by(-1)
     both = zero.join(one, ["cs", "effect"])

@@ -52,7 +52,7 @@ def without_dereferences(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def roles(callsites: DataFrame, catalog: DataFrame, args: DataFrame, results: DataFrame, within: DataFrame | None = None) -> DataFrame:
     """(node, role): by the catalog (name, role), the results of allocations called within the context (caller), and the first arguments of releases
     and locks. Names count up to their first dot."""
-    named = callsites.withColumn("name", F.substring_index("callee", ".", 1)).join(F.broadcast(catalog), "name")
+    named = callsites.withColumn("name", F.substring_index("callee", ".", 1)).join(catalog, "name")
     alloc = named.filter("role = 'alloc'")
     if within is not None:
         alloc = alloc.join(within.select("caller").distinct(), "caller", "left_semi")
