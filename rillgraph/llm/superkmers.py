@@ -218,7 +218,7 @@ def _counted(window: int):
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc, tie, spans): for documents with windows that start earlier elsewhere, runs of such windows, which may overlap."""
-    n = 2 * partitions(docs.sparkSession)
+    n = 6 * partitions(docs.sparkSession)
     cut = spans.identified(docs, id_col, text_col).mapInArrow(_cut(window, gram, n), "bucket int, block binary, doc long, tie long, spans binary")
     return table(cut.groupBy("bucket").applyInArrow(_counted(window), spans.SPANS), "repeats")
 
