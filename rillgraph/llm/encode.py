@@ -1,7 +1,8 @@
 """Token ids of many texts at once through the tokenizers library.
 
 The vocabulary splits at white space, so a text's ids are those of its words one after another. Words repeat:
-each distinct one is encoded once and looked up after that. Texts in which a special token's string may stand are
+each distinct one is encoded once and looked up after that. Only words that are wholly ASCII are lower-cased before: the vocabulary composes
+characters first and folds case last, and some compose only in lower case. Texts in which a special token's string may stand are
 encoded whole.
 """
 
@@ -23,6 +24,13 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _words(text: bytes) -> list[bytes]:
+    """The words as they are looked up."""
+    if text.isascii():
+        return text.lower().split()
+    return [w.lower() if w.isascii() else w for w in text.split()]
+
+
 class Encoder:
     """Encodes lists of texts; null counts as empty."""
 
@@ -63,7 +71,7 @@ class Encoder:
             ids = self._whole(texts)
             lens = np.fromiter(map(len, ids), np.int64, len(ids))
             return np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())), lens
-        words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        words = [_words(t.encode("utf-8", "surrogatepass")) for t in texts]
         if len(self.known) > REMEMBERED:
             self.forget()
         known = self.known
