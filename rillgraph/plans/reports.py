@@ -71,7 +71,7 @@ def matrix(bugs: DataFrame, types: list[str]) -> DataFrame:
 
 
 def _documents(s, d):
-    return lenses.read(s, d, "documents").select("doc_id", F.substring("text", 1, 80).alias("line"), "n_chars")
+    return lenses.read(s, d, "documents").select("doc_id", F.col("text").alias("line"), "n_chars")
 
 
 def _half(s, d):
