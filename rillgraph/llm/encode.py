@@ -1,20 +1,46 @@
 """Token ids of many texts at once through the tokenizers library.
 
-The vocabulary splits at white space, so a text's ids are those of its words one after another. Words repeat:
-each distinct one is encoded once and looked up after that. Only words that are wholly ASCII are lower-cased before: the vocabulary composes
+The vocabulary splits at white space, so a text's ids are those of its words one after another. Words repeat: each distinct one is
+encoded once and looked up after that. Only words that are wholly ASCII are lower-cased before: the vocabulary composes
 characters first and folds case last, and some compose only in lower case. Texts in which a special token's string may stand are
 encoded whole.
+
+New words are learned by the library's merges alone where the vocabulary normalises and splits as FORM says and the word has
+printable Latin-1 characters only: those are composed already, fold one by one, and are split here. All other words go through
+the whole of the library.
 """
 
 from __future__ import annotations
 
+import gc
+import json
+import re
+from collections import defaultdict
+from collections.abc import Callable
 from functools import cache
-from itertools import chain
+from itertools import chain, compress, count, islice
 
 import numpy as np
 
-#: Distinct words that an encoder remembers before it starts anew.
-REMEMBERED = 1_000_000
+#: Distinct words, and pieces of them, that an encoder remembers; beyond that it keeps the half that it met most often.
+REMEMBERED = 300_000
+#: Pieces of words that the library gets as one text.
+TOGETHER = 1000
+
+# How the vocabulary word_bpe_49k normalises and splits texts.
+FORM = (
+    ["NFC", "Replace", "Lowercase"],
+    r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+)
+# End of the fixed values.
+
+#: The same split for printable Latin-1 characters in lower case, and words that have no others.
+_LETTER, _DIGIT = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^{_LETTER}{_DIGIT}]+")
+_LATIN, _LATIN_TEXT = re.compile(r"[!-~¡-¬®-ÿ]+").fullmatch, re.compile(r"[\t-\r -~¡-¬®-ÿ]*").fullmatch
+#: Byte-level vocabularies spell bytes that don't print by characters from 256 on.
+_PRINT = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_SPELLED = {chr(b): chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _PRINT) if b > 0x7F}
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -24,11 +50,64 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _words(text: bytes) -> list[bytes]:
+def _spelled(pieces: str) -> str:
+    """Printable Latin-1 text as a byte-level vocabulary spells its UTF-8 bytes, spaces unchanged."""
+    if not pieces.isascii():
+        pieces = pieces.encode().decode("latin-1")
+        for byte, spelled in _SPELLED.items():
+            pieces = pieces.replace(byte, spelled)
+    return pieces
+
+
+def _words(text: str) -> list[str]:
     """The words as they are looked up."""
-    if text.isascii():
+    if _LATIN_TEXT(text):
         return text.lower().split()
-    return [w.lower() if w.isascii() else w for w in text.split()]
+    words = text.encode("utf-8", "surrogatepass").split()  # str.split() splits at other characters too
+    return [w.lower().decode() if w.isascii() else w.decode("utf-8", "surrogatepass") for w in words]
+
+
+def gathered(ids: np.ndarray, first: np.ndarray, many: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The ids of the entries `at` one after another; entry k has many[k] ids from first[k] on."""
+    own = many[at]
+    ends = np.cumsum(own)
+    return ids[np.repeat(first[at] - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+class Memo:
+    """The ids of keys met before; keys not met are learned together."""
+
+    def __init__(self, learn: Callable[[list], tuple[np.ndarray, np.ndarray]]) -> None:
+        """learn gives the ids of a list of keys one after another, and how many each has."""
+        self.learn = learn
+        self.known: dict = defaultdict(count().__next__)
+        self.ids, self.first, self.many, self.met = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def of(self, groups: list[list]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all groups of keys one after another, and how many each group has."""
+        if len(self.known) > REMEMBERED:
+            self._shrink()
+        before = len(self.known)
+        counts = np.fromiter(map(len, groups), np.int64, len(groups))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(groups)), np.int64, int(counts.sum()))
+        if len(self.known) > before:
+            ids, lens = self.learn(list(islice(self.known, before, None)))
+            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(lens) - lens])
+            self.ids, self.many = np.concatenate([self.ids, ids]), np.concatenate([self.many, lens])
+            self.met = np.concatenate([self.met, np.zeros_like(lens)])
+        self.met += np.bincount(at, minlength=len(self.met))
+        ends = np.append(0, np.cumsum(self.many[at]))
+        return gathered(self.ids, self.first, self.many, at), np.diff(ends[np.append(0, np.cumsum(counts))])
+
+    def _shrink(self) -> None:
+        """Keep the half of REMEMBERED met most often."""
+        keep = np.sort(np.argpartition(-self.met, REMEMBERED // 2)[: REMEMBERED // 2])
+        chosen = np.zeros(len(self.met), bool)
+        chosen[keep] = True
+        self.known = defaultdict(count(len(keep)).__next__, zip(compress(self.known, chosen.tolist()), range(len(keep)), strict=False))
+        self.ids = gathered(self.ids, self.first, self.many, keep)
+        self.many, self.met = self.many[keep], self.met[keep] // 2  # what was met long ago weighs less
+        self.first = np.cumsum(self.many) - self.many
 
 
 class Encoder:
@@ -40,51 +119,62 @@ class Encoder:
 
         self.tokenizer, self.split = Tokenizer.from_file(path), split
         self.size = self.tokenizer.get_vocab_size()
-        self.forget()
-
-    def forget(self) -> None:
-        """Give up the words remembered, as a task does at its end: idle workers should hold little."""
-        self.known: dict[bytes, int] = {}
-        self.ids, self.first, self.many, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
-
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]  # without places in the text
-
-    def _learn(self, new: list[bytes]) -> None:
-        ids = self._whole([w.decode("utf-8", "surrogatepass") for w in new])
+        self.merges = self._merges(Tokenizer) if split else None
+        self.words, self.pieces = Memo(self._learn), Memo(self._merged)
+
+    def _merges(self, library: type):
+        """The vocabulary without normalising, splitting at spaces only; None if it is of another form."""
+        spec = json.loads(self.tokenizer.to_str())
+        try:
+            steps, cuts = spec["normalizer"]["normalizers"], spec["pre_tokenizer"]["pretokenizers"]
+            form = [x["type"] for x in steps], cuts[0]["pattern"]["Regex"]
+            if form != FORM or cuts[1]["type"] != "ByteLevel" or cuts[1]["add_prefix_space"] or cuts[1]["use_regex"] or not spec["model"]["end_of_word_suffix"]:
+                return None
+        except (KeyError, TypeError, IndexError):
+            return None
+        spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}}
+        ending = spec["model"]["end_of_word_suffix"]
+        self.last = np.zeros(self.size, bool)
+        for token, k in spec["model"]["vocab"].items():
+            self.last[k] = token.endswith(ending)
+        return library.from_str(json.dumps(spec))
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]  # without places in the text
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum()))
-        k, n = len(self.known), len(new)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while k + n > len(self.first):
-            self.first, self.many = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.many))
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.first[k : k + n], self.many[k : k + n] = self.used + np.cumsum(lens) - lens, lens
-        self.used += len(flat)
-        self.known.update(zip(new, range(k, k + n), strict=True))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())), lens
+
+    def _merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _whole(), for pieces of printable Latin-1 words in lower case."""
+        texts = [" ".join(pieces[k : k + TOGETHER]) for k in range(0, len(pieces), TOGETHER)]
+        found = [np.array(x.ids, np.uint32) for x in self.merges.encode_batch_fast([_spelled(t) for t in texts], add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *found])
+        lens = np.diff(np.nonzero(self.last[ids])[0], prepend=-1)  # each piece has its end in its last token
+        return (ids, lens) if len(lens) == len(pieces) else self._whole(pieces)
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.fromiter((self.merges is not None and _LATIN(w) is not None for w in words), bool, len(words))
+        n = int(plain.sum())
+        if n == len(words):
+            return self.pieces.of([_PIECE.findall(w.lower()) for w in words])
+        order = np.argsort(~plain, kind="stable")
+        ids, lens = self.pieces.of([_PIECE.findall(words[k].lower()) for k in order[:n].tolist()])
+        others, more = self._whole([words[k] for k in order[n:].tolist()])
+        ids, lens, back = np.append(ids, others), np.append(lens, more), np.argsort(order)
+        return gathered(ids, np.cumsum(lens) - lens, lens, back), lens[back]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has."""
         texts = [t or "" for t in texts]
         if not self.split or any("<|" in t for t in texts):
-            ids = self._whole(texts)
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            return np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())), lens
-        words = [_words(t.encode("utf-8", "surrogatepass")) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        known = self.known
-        if new := [w for w in set(chain.from_iterable(words)) if w not in known]:
-            self._learn(new)
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
-        many = self.many[at]
-        ends = np.cumsum(many)
-        out = self.ids[np.repeat(self.first[at] - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        edges = np.concatenate([[0], np.cumsum(counts)])
-        ends = np.concatenate([[0], ends])
-        return out, np.diff(ends[edges])
+            return self._whole(texts)
+        collecting = gc.isenabled()
+        gc.disable()  # millions of strings and no cycles: looking for those takes a fifth of the time
+        try:
+            return self.words.of([_words(t) for t in texts])
+        finally:
+            if collecting:
+                gc.enable()
 
 
 @cache
