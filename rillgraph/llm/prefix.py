@@ -1,19 +1,21 @@
 """Suffix-array dedup by distributed prefix doubling, for repeats of at least LENGTH bytes.
 
 Two positions are in the same group if the strings of LENGTH bytes from them agree. The order of groups does not matter,
-so a rank is a digest, equal for equal strings, and doubling joins two ranks of shorter strings to the rank of a longer one.
-Doubling runs over few positions:
-
-1. Ranks of GRAM bytes are made in each document. Every string of LENGTH bytes has one leading position, that of
-   its least such rank; neighbouring strings mostly share it, and such a run is one row with the pair (rank at the leading position,
-   rank of the whole run). Rows are sorted by rank pair and position. Rows whose first rank is unique are done: no string
-   in them is repeated. Of rows with equal pairs the first stays; all strings of the others are repeats.
+so a rank is a digest, equal for equal strings, and doubling joins two ranks of shorter strings to the rank of a longer one. In each
+round Spark sorts rows (rank, rank at the round's offset, position), and the sorted rows are streamed: a row whose rank no other has is
+unique and goes, rows that agree in the pair agree up to the round's length, and what is left goes to the next round.
+
+1. Ranks of up to GRAM bytes need no shuffle, as they are made in each document. Every string of LENGTH bytes has one leading position, that
+   of its least rank of GRAM bytes; neighbouring strings mostly share it, and such a run is one row with the pair (rank at the
+   leading position, rank of the whole run). Rows whose first rank is unique are done: no string in them is repeated. Of rows with equal
+   pairs the first stays; all strings of the others are repeats.
 2. Where different rows share their first rank, positions are ranked singly, by the pair of that rank and the rank of
    LENGTH bytes, itself made of the pair (rank of HALF bytes, rank of HALF bytes at the offset LENGTH - HALF). That is past the
    threshold: rows are sorted again, and all but the first of equal pairs are repeats.
 
-A pair has 128 bits. Each task settles equal pairs of its own first and hands on the earliest, so that a group of many copies is
-a few rows for each task.
+A pair has 128 bits; strings that agree in their leading GRAM bytes are told apart by the 64 of the second rank alone, and bytes are not
+compared. Each task settles equal pairs of its own first and hands on the earliest, so that a group of many copies is a few rows for
+each task. No group is held: a task keeps one batch of sorted rows and the first row of the group before it.
 """
 
 from __future__ import annotations
@@ -22,8 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame
 
 from rillgraph.llm import spans
@@ -32,6 +32,8 @@ from rillgraph.llm.common import partitions, rows, table
 LENGTH, GRAM, HALF = 100, 48, 64
 #: Characters of text that a task looks through at once, about: for runs, and for single positions, which are many more rows.
 AT_ONCE, SINGLY_AT_ONCE = 2 << 20, 1 << 20
+#: Sorted rows that a task looks through at once, and repeated positions after which it hands on their spans.
+ROWS, PLACES = 1 << 16, 1 << 20
 
 _RANKS = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -104,135 +106,147 @@ def run_rows(text: bytes, singly: bool = False) -> tuple[np.ndarray, ...]:
 
 
 FIELDS = ("a", "b", "doc", "tie", "start", "many")
+KINDS = (np.uint64,) * 2 + (np.int64,) * 4
+#: What a task hands on: rows with ranks for the partition they are sorted in, and spans of what it settles itself.
+SENT = "bucket int, a long, b long, doc long, tie long, start long, many int, spans binary"
 
 
-def _firsts(parts: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by pair and position; of those in order, which are the first of their pair, and which repeat it elsewhere."""
-    order = np.lexsort((parts["start"], parts["tie"], parts["doc"], parts["b"], parts["a"]))
-    a, b, doc, tie, start = (parts[k][order] for k in FIELDS[:5])
-    first = np.ones(len(order), bool)
+def _firsts(parts: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in order of pair and position: which are the first of their pair, and which repeat it elsewhere."""
+    a, b, doc, tie, start = (parts[k] for k in FIELDS[:5])
+    first = np.ones(len(a), bool)
     first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
     repeat = ~first & ((doc != doc[head]) | (tie != tie[head]) | (start != start[head]))  # the same row again isn't earlier
-    return order, first, repeat
-
-
-def _blocks(parts: dict[str, np.ndarray], buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Rows in order of their first rank, cut at equal ranges of it, compressed."""
-    bucket = (parts["a"] >> np.uint64(40)).astype(np.int64) * buckets >> 24
-    order = np.argsort(bucket, kind="stable")
-    parts, bucket = {k: x[order] for k, x in parts.items()}, bucket[order]
-    edges = np.append(np.concatenate([[0], np.nonzero(np.diff(bucket))[0] + 1]), len(bucket))
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        if b > a:
-            own = {k: x[a:b] for k, x in parts.items()}
-            for k in ("doc", "start"):  # in order of rows, so that differences are small
-                own[k] = np.diff(own[k], prepend=np.int64(0))
-            # bytes of equal weight side by side compress best
-            data = b"".join(x.astype("<i8" if k in FIELDS[2:] else "<u8").view(np.uint8).reshape(-1, 8).T.tobytes() for k, x in own.items())
-            yield int(bucket[a]), zstandard.ZstdCompressor(level=3).compress(data)
-
-
-def _opened(block: bytes) -> dict[str, np.ndarray]:
-    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.uint8)
-    columns = data.reshape(len(FIELDS), 8, -1)
-    out = {k: np.ascontiguousarray(c.T).view("<i8" if k in FIELDS[2:] else "<u8").reshape(-1) for k, c in zip(FIELDS, columns, strict=True)}
-    return out | {k: np.cumsum(out[k]) for k in ("doc", "start")}
-
-
-def _sent(parts: dict[str, np.ndarray], buckets: int) -> pa.RecordBatch:
-    """What a task hands on: blocks for buckets, and, by any bucket, spans of what it settles itself."""
-    order, first, repeat = _firsts(parts)
-    stay = np.sort(order[first])
-    out = [(k, block, None, None, None) for k, block in _blocks({k: x[stay] for k, x in parts.items()}, buckets)]
-    out += [(x["doc"] % buckets, None, *x.values()) for x in _spans(parts, order[repeat]).to_pylist()]
-    columns = zip(*out, strict=True) if out else [[]] * 5
-    kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["bucket", "block", "doc", "tie", "spans"])
-
-
-SENT = "bucket int, block binary, doc long, tie long, spans binary"
-
-
-def _spans(parts: dict[str, np.ndarray], chosen: np.ndarray) -> pa.Table:
-    """Spans of the positions of the chosen rows."""
-    doc, tie, start, many = (parts[k][chosen] for k in FIELDS[2:])
-    of = np.repeat(np.arange(len(chosen)), many)
-    return spans.of_places(doc[of], tie[of], start[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many))
+    return first, repeat
+
+
+def _chosen(parts: dict[str, np.ndarray], which: np.ndarray) -> dict[str, np.ndarray]:
+    return {k: x[which] for k, x in parts.items()}
 
 
 def _merged(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-    kinds = (np.uint64,) * 2 + (np.int64,) * 4
-    return {k: np.concatenate([np.zeros(0, t), *(p[k] for p in parts)]) for k, t in zip(FIELDS, kinds, strict=True)}
+    return {k: np.concatenate([np.zeros(0, t), *(p[k] for p in parts)]) for k, t in zip(FIELDS, KINDS, strict=True)}
+
+
+def _spans(parts: dict[str, np.ndarray]) -> pa.Table:
+    """Spans of the positions of rows."""
+    doc, tie, start, many = (parts[k] for k in FIELDS[2:])
+    of = np.repeat(np.arange(len(doc)), many)
+    return spans.of_places(doc[of], tie[of], start[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many))
+
+
+def _sent(parts: dict[str, np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """SENT of a task's rows: the first of equal pairs, dealt by equal ranges of the first rank, and spans of the others."""
+    parts = _chosen(parts, np.lexsort((parts["start"], parts["tie"], parts["doc"], parts["b"], parts["a"])))
+    first, repeat = _firsts(parts)
+    stay, settled = _chosen(parts, first), _spans(_chosen(parts, repeat))
+    bucket = ((stay["a"] >> np.uint64(40)).astype(np.int64) * buckets >> 24).astype(np.int32)
+    many = pa.array(stay["many"].astype(np.int32))
+    columns = [pa.array(bucket), *(pa.array(stay[k].view(np.int64)) for k in FIELDS[:5]), many, pa.nulls(len(bucket), pa.binary())]
+    yield pa.RecordBatch.from_arrays(columns, names=["bucket", *FIELDS, "spans"])
+    if len(settled):
+        doc = settled["doc"].combine_chunks()
+        none = pa.nulls(len(doc), pa.int64())
+        columns = [pa.array((doc.to_numpy() % buckets).astype(np.int32)), none, none, doc, settled["tie"].combine_chunks(), none, pa.nulls(len(doc), pa.int32()), settled["spans"].combine_chunks()]
+        yield pa.RecordBatch.from_arrays(columns, names=["bucket", *FIELDS, "spans"])
 
 
 def _runs(buckets: int):
-    """Rows of runs from (doc, tie, text)."""
+    """SENT of runs from (doc, tie, text)."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in rows(batches, AT_ONCE):
             parts = []
-            for doc, tie, text in sorted(held):
+            for doc, tie, text in held:
                 data = text.encode("utf-8", "surrogatepass")
                 if len(data) >= LENGTH:
                     start, many, a, b = run_rows(data)
                     parts.append({"a": a, "b": b, "doc": np.full(len(start), doc), "tie": np.full(len(start), tie), "start": start, "many": many})
-            yield _sent(_merged(parts), buckets)
+            yield from _sent(_merged(parts), buckets)
 
     return made
 
 
-def _given(group: pa.Table) -> tuple[dict[str, np.ndarray], pa.Table]:
-    """A bucket's rows, and the spans settled before."""
-    blocks = [_opened(b) for b in group["block"].to_pylist() if b is not None]
-    return _merged(blocks), group.filter(pc.is_null(group["block"])).select(["doc", "tie", "spans"])
-
-
-def _sorted_runs(group: pa.Table) -> pa.Table:
-    """Of a bucket's runs: spans of repeats, and spans of the runs to be ranked singly (todo)."""
-    parts, settled = _given(group)
-    order, first, repeat = _firsts(parts)
-    # distinct runs that share their first rank
-    heads = order[first]
-    a = parts["a"][heads]
-    shared = np.zeros(len(heads), bool)
-    shared[1:] = a[1:] == a[:-1]
-    shared[:-1] |= shared[1:]
-    found = [(settled, False), (_spans(parts, order[repeat]), False), (_spans(parts, heads[shared]), True)]
-    return pa.concat_tables([t.append_column("todo", pa.array([todo] * len(t), pa.bool_())) for t, todo in found])
-
-
 def _singles(buckets: int):
-    """Rows of single positions from (doc, tie, text, spans)."""
+    """SENT of single positions from (doc, tie, text, spans)."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in rows(batches, SINGLY_AT_ONCE):
             parts = []
-            for doc, tie, text, found in sorted(held, key=lambda x: x[:2]):
+            for doc, tie, text, found in held:
                 start, many, a, b = run_rows(text.encode("utf-8", "surrogatepass"), singly=True)
                 at = np.nonzero(~spans.staying(found, len(start), 1))[0]
                 parts.append({"a": a[at], "b": b[at], "doc": np.full(len(at), doc), "tie": np.full(len(at), tie), "start": at, "many": many[at]})
-            yield _sent(_merged(parts), buckets)
+            yield from _sent(_merged(parts), buckets)
 
     return made
 
 
-def _sorted_singles(group: pa.Table) -> pa.Table:
-    """Spans of repeated positions of a bucket."""
-    parts, settled = _given(group)
-    order, _, repeat = _firsts(parts)
-    return pa.concat_tables([settled, _spans(parts, order[repeat])])
+def _thick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The batches, several at a time."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= ROWS:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _reranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows: spans of repeats, and spans of the rows that the next round has to tell apart (todo).
+
+    The last row that is the first of its pair is carried on to the next batch, with whether a row before it shares its first rank.
+    """
+    carried, was_shared = _merged([]), False
+    found: dict[bool, list] = {False: [], True: []}
+
+    def out(todo: bool) -> Iterator[pa.RecordBatch]:
+        t = _spans(_merged(found[todo]))
+        found[todo].clear()
+        yield from t.append_column("todo", pa.array([todo] * len(t), pa.bool_())).to_batches()
+
+    for t in _thick(batches):
+        settled = t.filter(t["spans"].is_valid()).select(["doc", "tie", "spans"])
+        yield from settled.append_column("todo", pa.array([False] * len(settled), pa.bool_())).to_batches()
+        t = t.filter(t["spans"].is_null())
+        parts = _merged([carried, {k: t[k].to_numpy().astype(np.int64).view(kind) for k, kind in zip(FIELDS, KINDS, strict=True)}])
+        if not len(parts["a"]):
+            continue
+        first, repeat = _firsts(parts)
+        found[False].append(_chosen(parts, repeat))
+        heads = _chosen(parts, first)
+        same = heads["a"][1:] == heads["a"][:-1]
+        shared = np.append(was_shared, same)
+        shared[:-1] |= same
+        carried, was_shared = _chosen(heads, np.s_[-1:]), bool(shared[-1])
+        found[True].append(_chosen(heads, np.nonzero(shared[:-1])[0]))
+        for todo in found:
+            if sum(int(x["many"].sum()) for x in found[todo]) >= PLACES:
+                yield from out(todo)
+    if was_shared:
+        found[True].append(carried)
+    for todo in found:
+        yield from out(todo)
+
+
+def _round(sent: DataFrame, buckets: int) -> DataFrame:
+    """One round: rows sorted by rank pair and position in ranges of the first rank, and told apart."""
+    ranged = sent.repartitionById(buckets, "bucket").drop("bucket")
+    return ranged.sortWithinPartitions("a", "b", "doc", "tie", "start").mapInArrow(_reranked, f"{spans.SPANS}, todo boolean")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, tie, spans): runs of positions from which LENGTH bytes also start earlier."""
-    n = 8 * partitions(docs.sparkSession)
+    n = partitions(docs.sparkSession)
     texts = spans.identified(docs, id_col, text_col)
-    runs = texts.mapInArrow(_runs(n), SENT).groupBy("bucket").applyInArrow(_sorted_runs, f"{spans.SPANS}, todo boolean")
-    ranked = table(runs, "ranked")
+    ranked = table(_round(texts.mapInArrow(_runs(n), SENT), n), "ranked")
     todo = spans.only(texts, ranked.filter("todo").drop("todo"))
-    found = todo.mapInArrow(_singles(n), SENT).groupBy("bucket").applyInArrow(_sorted_singles, spans.SPANS)
-    return found.unionByName(ranked.filter("not todo").drop("todo"))
+    found = _round(todo.mapInArrow(_singles(n), SENT), n).filter("not todo")
+    return found.unionByName(ranked.filter("not todo")).drop("todo")
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
