@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rillgraph.llm import spans
 from rillgraph.llm.common import partitions, rows, table
@@ -27,6 +28,8 @@ from rillgraph.llm.common import partitions, rows, table
 WINDOW, GRAM = 20, 3
 #: Characters of text that a task looks through at once, about, and words whose hashes a worker remembers.
 AT_ONCE, REMEMBERED = 5 << 20, 300_000
+#: UTF-8 bytes of text for each bucket, about: buckets follow the input, so no group grows with it.
+BUCKET_BYTES = 8 << 20
 #: Windows that a bucket has in memory at once, about; more are divided by their minimiser's hash first.
 BUCKET_WINDOWS = 500_000
 
@@ -218,7 +221,8 @@ def _counted(window: int):
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc, tie, spans): for documents with windows that start earlier elsewhere, runs of such windows, which may overlap."""
-    n = 6 * partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
+    n = max(6 * partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
     cut = spans.identified(docs, id_col, text_col).mapInArrow(_cut(window, gram, n), "bucket int, block binary, doc long, tie long, spans binary")
     return table(cut.groupBy("bucket").applyInArrow(_counted(window), spans.SPANS), "repeats")
 
