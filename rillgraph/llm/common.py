@@ -15,16 +15,17 @@ from pyspark.sql import functions as F
 
 #: White space of the contracts, [\x20\x09-\x0D]: what bytes.split() splits at.
 SPACE = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Scratch folders made so far and not deleted.
 made: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; set here only where unset (tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; set here only where unset and Spark runs in this one process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and the executors share")
         root = f"file://{tempfile.mkdtemp(prefix='rillgraph-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -76,9 +77,10 @@ BATCH_ROWS = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """From now on the session's Arrow batches have BATCH_ROWS rows at most."""
+    """From now on the session's Arrow batches have BATCH_ROWS rows at most. Spark reads the setting when the caller runs the plan, so
+    it can't be set back here."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)
 
 
@@ -93,9 +95,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
-def ascii_lower(text: Column) -> Column:
-    """A-Z lower-cased, all else unchanged."""
-    return F.translate(text, UPPER, LOWER)
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df has not."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def rows(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[list[tuple]]:
