@@ -7,26 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillgraph.sources.shared import new_path
+from rillgraph.operators import small
+from rillgraph.sources.shared import drop, new_path
 
-#: Rounds after which a recursion is given up.
-MAX_ROUNDS = 500
+#: Rounds whose tables are merged into one: what is known is read from as many files at most.
+COMPACT = 16
 
 
 def fixpoint(
     seed: DataFrame,
     step: Callable[[DataFrame, DataFrame], DataFrame],
     key: list[str] | None = None,
-    max_rounds: int = MAX_ROUNDS,
-    budget: int | None = None,
+    max_rounds: int | None = None,
     label: str = "fixpoint",
+    known: DataFrame | None = None,
 ) -> DataFrame:
-    """All rows that seed and step lead to.
+    """All rows that seed and step lead to, and those known before, whose consequences are known too.
 
     step(delta, full) gives candidate rows from those that the last round added (delta) and all so far (full). Rows whose key (all
     columns by default) is known are no news; of several with one key, that with the smallest other columns is taken, so that
     results do not depend on the order of rows. Every round is a Parquet table in the shared folder and full is all of
-    them, so neither plans nor lineage grow. With a budget, the loop ends after the round that reaches that many rows.
+    them, merged every COMPACT rounds, so neither plans nor lineage nor lists of files grow. Recursions over growing values need not end:
+    max_rounds makes that an error, and nothing is returned in part.
     """
     spark, key = seed.sparkSession, key or seed.columns
     rest = [c for c in seed.columns if c not in key]
@@ -38,34 +40,49 @@ def fixpoint(
         best = df.groupBy(*key).agg(F.min(F.struct(*rest)).alias("__best"))
         return best.select(*key, "__best.*").select(*seed.columns)
 
-    root, paths = new_path(spark, label), []
+    root, paths, rounds = new_path(spark, label), [], 0
+
+    def read(*where: str) -> DataFrame:
+        return spark.read.schema(seed.schema).parquet(*where)
 
     def written(df: DataFrame) -> DataFrame:
-        paths.append(f"{root}/round={len(paths):04d}")
-        df.write.parquet(paths[-1])
-        return spark.read.schema(seed.schema).parquet(paths[-1])
-
-    delta = written(distinct(seed))
-    full, rows = delta, delta.count()
-    for _ in range(max_rounds):
-        new = distinct(step(delta, full)).join(full.select(*key), key, "left_anti").select(*seed.columns)
-        delta = written(new)
-        added = delta.count()
-        if not added:
-            return full
-        rows += added
-        full = spark.read.schema(seed.schema).parquet(*paths)
-        if budget is not None and rows >= budget:
-            return full
-    raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
+        nonlocal rounds
+        path = f"{root}/round={rounds:05d}"
+        rounds += 1
+        df.write.parquet(path)
+        paths.append(path)
+        return read(path)
+
+    start = distinct(seed)
+    if known is not None:
+        written(known.select(*seed.columns))
+        start = start.join(read(*paths).select(*key), key, "left_anti").select(*seed.columns)
+    delta = written(start)
+    while not delta.isEmpty():
+        if max_rounds is not None and rounds > max_rounds:
+            raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
+        if len(paths) > COMPACT:
+            old = paths[:-1]
+            merged = f"{root}/merged={rounds:05d}"
+            read(*old).write.parquet(merged)
+            paths[:-1] = [merged]
+            for path in old:
+                drop(spark, path)
+        full = read(*paths)
+        delta = written(distinct(step(delta, full)).join(full.select(*key), key, "left_anti").select(*seed.columns))
+    return read(*paths)
 
 
 def closure(edges: DataFrame, seeds: DataFrame | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
     """Pairs (src, dst) joined by a path of one edge or more, from the seeds (column src) or from everywhere.
 
-    From seeds, paths grow by an edge a round. From everywhere they double: what the last round found, of more than half of the greatest
-    length so far, is followed by all that is known, so rounds are the logarithm of the longest path.
+    A graph of few edges (small.LOCAL_EDGES, counted) is walked from each seed. In a larger one, paths from seeds grow by an edge a round; from
+    everywhere they double: what the last round found, of more than half of the greatest length so far, is followed by all that is known,
+    so rounds are the logarithm of the longest path.
     """
+    held = small.edges_of(edges, src, dst)
+    if held is not None:
+        return small.walked(held, edges.select(src) if seeds is None else seeds.select(src), (src, dst)).select(src, dst)
     first = edges.select(src, dst).distinct()
     if seeds is None:
         ahead = lambda full: full.withColumnsRenamed({src: "__mid", dst: "__to"})

@@ -6,9 +6,12 @@ closed inside, loads and stores add copies outside, so few outer rounds are need
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillgraph.operators import small
 from rillgraph.operators.fixpoint import fixpoint
 from rillgraph.sources.shared import materialise
 
@@ -31,11 +34,19 @@ def offset_of(obj: Column) -> Column:
     return F.shiftright(obj, 48)
 
 
-def propagate(pts: DataFrame, copy: DataFrame, gep: DataFrame | None = None, collapsed: DataFrame | None = None, label: str = "pts") -> DataFrame:
+def propagate(pts: DataFrame, copy: DataFrame, gep: DataFrame | None = None, collapsed: DataFrame | None = None, label: str = "pts", known: DataFrame | None = None) -> DataFrame:
     """pts (var, obj) closed under copy (src, dst) and gep (src, dst, offset): field addresses move by the offset.
 
-    Objects whose base is in collapsed (column obj) have no fields: all offsets are the object.
+    Objects whose base is in collapsed (column obj) have no fields: all offsets are the object. known: pairs that are closed already. Over few
+    plain copies (small.LOCAL_EDGES, counted) variables are walked from; else what is new moves an edge a round.
     """
+    held = small.edges_of(copy) if gep is None else None
+    if held is not None:
+        pts = canonical(pts, collapsed)
+        ahead = small.walked(held, pts.select("var"), ("__s", "__d"))
+        moved = pts.join(ahead, pts["var"] == ahead["__s"]).select(F.col("__d").alias("var"), "obj")
+        parts = [pts.select("var", "obj"), moved] + ([known.select("var", "obj")] if known is not None else [])
+        return materialise(reduce(DataFrame.unionByName, parts).distinct(), label)
     edge = copy.select(F.col("src").alias("__s"), F.col("dst").alias("__d"), F.lit(0).cast("long").alias("__o"))
     if gep is not None:
         edge = edge.unionByName(gep.select(F.col("src").alias("__s"), F.col("dst").alias("__d"), F.col("offset").cast("long").alias("__o")))
@@ -46,7 +57,7 @@ def propagate(pts: DataFrame, copy: DataFrame, gep: DataFrame | None = None, col
         moved = F.when(F.col("__o") == 0, F.col("obj")).otherwise(field(base(F.col("obj")), offset_of(F.col("obj")) + F.col("__o")))
         return canonical(out.select(F.col("__d").alias("var"), moved.alias("obj")), collapsed)
 
-    return fixpoint(canonical(pts, collapsed), step, label=label)
+    return fixpoint(canonical(pts, collapsed).select("var", "obj"), step, label=label, known=known)
 
 
 def canonical(pts: DataFrame, collapsed: DataFrame | None) -> DataFrame:
@@ -67,13 +78,14 @@ def store_copies(pts: DataFrame, store: DataFrame) -> DataFrame:
     return pts.join(store, pts["var"] == store["dst"]).select("src", F.col("obj").alias("dst")).distinct()
 
 
-def indirect_calls(pts: DataFrame, callsites: DataFrame, functions: DataFrame, limit: int = 50_000) -> DataFrame:
+def indirect_calls(pts: DataFrame, callsites: DataFrame, functions: DataFrame, limit: int | None = None) -> DataFrame:
     """(cs, func): functions (func, obj, n_args) that a call's pointer (cs, funptr, n_args) points to, of as many arguments.
 
-    At most limit edges, those of the smallest call sites and functions, as an analysis that gives up then does.
+    With a limit, at most so many edges, those of the smallest call sites and functions, as an analysis that gives up then has; none by default.
     """
     found = callsites.join(pts, callsites["funptr"] == pts["var"]).join(functions.withColumnRenamed("n_args", "__n").withColumnRenamed("obj", "__o"), F.col("obj") == F.col("__o"))
-    return found.filter(F.col("n_args") == F.col("__n")).select("cs", "func").distinct().orderBy("cs", "func").limit(limit)
+    edges = found.filter(F.col("n_args") == F.col("__n")).select("cs", "func").distinct()
+    return edges if limit is None else edges.orderBy("cs", "func").limit(limit)
 
 
 def bind(calls: DataFrame, args: DataFrame, params: DataFrame, rets: DataFrame, results: DataFrame) -> DataFrame:
@@ -97,7 +109,7 @@ def andersen(
     gep: DataFrame | None = None,
     variant_gep: DataFrame | None = None,
     calls: dict[str, DataFrame] | None = None,
-    max_rounds: int = 50,
+    max_rounds: int = 1000,
 ) -> tuple[DataFrame, DataFrame]:
     """(points-to (var, obj), copies (src, dst)) of the least solution.
 
@@ -109,29 +121,37 @@ def andersen(
     if variant_gep is not None:
         copy = copy.unionByName(variant_gep.select("src", "dst"))
     known = materialise(copy.select("src", "dst").distinct(), "copies")
-    collapsed = None
-    pts = propagate(seed, known, gep)
-    size = (known.count(), pts.count(), 0)
+    collapsed, everything = None, seed
+    pts = new = propagate(seed, known, gep)
     for _ in range(max_rounds):
-        more = known
+        # what the last round's new pairs add; only in a round with a collapse is all looked at again
+        more = known.limit(0)
         if load is not None:
-            more = more.unionByName(load_copies(pts, load))
+            more = more.unionByName(load_copies(new, load))
         if store is not None:
-            more = more.unionByName(store_copies(pts, store))
+            more = more.unionByName(store_copies(new, store))
         if calls is not None:
-            found = indirect_calls(pts, calls["callsites"], calls["functions"])
+            found = indirect_calls(new, calls["callsites"], calls["functions"])
             more = more.unionByName(bind(found, calls["args"], calls["params"], calls["rets"], calls["results"]))
+        fresh = False
         if variant_gep is not None:
-            met = pts.join(variant_gep, pts["var"] == variant_gep["src"]).select(base(F.col("obj")).alias("obj")).distinct()
-            collapsed = materialise(met if collapsed is None else met.unionByName(collapsed).distinct(), "collapsed")
+            met = new.join(variant_gep, new["var"] == variant_gep["src"]).select(base(F.col("obj")).alias("obj")).distinct()
+            met = materialise(met if collapsed is None else met.join(collapsed, "obj", "left_anti"), "collapsed")
+            fresh = not met.isEmpty()
+            collapsed = met if collapsed is None else materialise(met.unionByName(collapsed), "collapsed")
             # a collapsed object's fields are the object, as variables too
-            more = merged(more, collapsed)
-        known = materialise(more.distinct(), "copies")
-        pts = propagate(pts.unionByName(seed), known, gep, collapsed)
-        now = (known.count(), pts.count(), 0 if collapsed is None else collapsed.count())
-        if now == size:
+            more = merged(known.unionByName(more), collapsed)
+        added = materialise(more.distinct().join(known, ["src", "dst"], "left_anti"), "copies")
+        if added.isEmpty() and not fresh:
             return pts, known
-        size = now
+        known = materialise(known.unionByName(added), "copies")
+        if fresh:
+            pts = new = propagate(pts.unionByName(everything), known, gep, collapsed)
+            continue
+        moved = pts.join(added, pts["var"] == added["src"]).select(F.col("dst").alias("var"), "obj").distinct()
+        moved = materialise(canonical(moved, collapsed).join(pts, ["var", "obj"], "left_anti"), "pts")
+        before, pts = pts, propagate(moved, known, gep, collapsed, known=pts)
+        new = materialise(pts.join(before, ["var", "obj"], "left_anti"), "pts")
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rillgraph.config import AnalysisConfig
 from rillgraph.functions import scalars
-from rillgraph.operators import callgraph, contexts, fixpoint, guards, pointsto, reach, regions, typestate, valueflow
+from rillgraph.operators import callgraph, contexts, fixpoint, guards, pointsto, reach, regions, small, typestate, valueflow
 
 ITEMS = "source long, ord int, node long, role string, field_ctx int"
 
@@ -72,8 +72,9 @@ def closed(edges):
         out |= new
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_closure_and_components(spark, seed):
+@pytest.mark.parametrize(("seed", "local"), [(1, 1 << 18), (2, 0), (3, 5)])
+def test_closure_and_components(spark, monkeypatch, seed, local):
+    monkeypatch.setattr(small, "LOCAL_EDGES", local)
     edges = random_edges(seed, 14, 18)
     df = spark.createDataFrame(edges, "src long, dst long")
     found = closed(edges)
@@ -88,7 +89,10 @@ def test_no_fixpoint_is_an_error(spark):
     seed = spark.createDataFrame([(0,)], "n long")
     with pytest.raises(RuntimeError):
         fixpoint.fixpoint(seed, lambda new, _: new.select((F.col("n") + 1).alias("n")), max_rounds=3)
-    assert fixpoint.fixpoint(seed, lambda new, _: new.select((F.col("n") + 1).alias("n")), budget=4).count() == 4
+    known = spark.createDataFrame([(k,) for k in range(5)], "n long")
+    up = lambda new, _: new.filter("n < 40").select((F.col("n") + 1).alias("n"))
+    assert rows(fixpoint.fixpoint(seed, up, known=known)) == sorted(((k,) for k in range(5)), key=str)
+    assert fixpoint.fixpoint(seed, up).count() == 41  # more rounds than are kept apart
 
 
 def test_slices(spark):
@@ -115,8 +119,9 @@ def brute_andersen(addr, copy, load, store):
         pts, copies = new, more
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_andersen(spark, seed):
+@pytest.mark.parametrize(("seed", "local"), [(3, 1 << 18), (4, 0)])
+def test_andersen(spark, monkeypatch, seed, local):
+    monkeypatch.setattr(small, "LOCAL_EDGES", local)
     chance = random.Random(seed)
     some = lambda n, a, b: sorted({(chance.randrange(*a), chance.randrange(*b)) for _ in range(n)})
     addr, copy, load, store = some(8, (100, 106), (0, 12)), some(9, (0, 12), (0, 12)), some(5, (0, 12), (0, 12)), some(5, (0, 12), (0, 12))
@@ -166,6 +171,43 @@ def test_backward_paths(spark):
     assert [(r.path_id, r.path, r.field_ctx) for r in got.orderBy("path_id").collect()] == [(0, [1, 2, 4], [5]), (1, [1, 3, 4], [])]
 
 
+def test_long_chain(spark):
+    edges = spark.range(1000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert reach.components(edges).filter("node = rep").count() == 1001
+    assert fixpoint.closure(edges, spark.createDataFrame([(0,)], "src long")).count() == 1000
+    assert reach.levels(edges).agg(F.max("level")).first()[0] == 1000
+    ring = edges.unionByName(spark.createDataFrame([(1000, 0)], "src long, dst long"))
+    assert reach.components(ring).filter("rep = 0").count() == 1001
+    with pytest.raises(ValueError):
+        reach.levels(ring)
+
+
+@pytest.mark.parametrize("local", [1 << 18, 0])
+def test_levels(spark, monkeypatch, local):
+    monkeypatch.setattr(small, "LOCAL_EDGES", local)
+    edges = sorted({(min(e), max(e)) for e in random_edges(6, 12, 20) if e[0] != e[1]})
+    want = {n: 0 for e in edges for n in e}
+    for n in sorted(want):
+        want[n] = max([want[s] + 1 for s, d in edges if d == n], default=0)
+    assert dict(rows(reach.levels(spark.createDataFrame(edges, "src long, dst long")))) == want
+    with pytest.raises(ValueError):
+        reach.levels(spark.createDataFrame([(1, 2), (2, 1)], "src long, dst long"))
+
+
+@pytest.mark.parametrize("local", [1 << 18, 3])
+def test_dominators_of_random_graphs(spark, monkeypatch, local):
+    monkeypatch.setattr(small, "LOCAL_EDGES", local)
+    for seed in (1, 2):
+        edges = random_edges(seed, 8, 14)
+        found = closed(edges)
+        blocks = {0} | {b for a, b in found if a == 0}
+        around = lambda a: {0} - {a} | {d for s, d in closed([e for e in edges if a not in e]) if s == 0 != a}
+        want = {("f", a, b) for a in blocks for b in blocks if b not in around(a)}
+        df = spark.createDataFrame([("f", s, d) for s, d in edges] + [("g", 0, 1)], "func string, src long, dst long")
+        got = reach.dominators(df, spark.createDataFrame([("f", 0), ("g", 0)], "func string, bb long"))
+        assert set(rows(got.filter("func = 'f'"))) == want and got.filter("func = 'g'").count() == 3
+
+
 def test_dominance(spark):
     e = spark.createDataFrame([("f", 0, 1), ("f", 0, 2), ("f", 1, 3), ("f", 2, 3), ("f", 3, 0)], "func string, src long, dst long")
     dom = reach.dominators(e, spark.createDataFrame([("f", 0)], "func string, bb long"))
