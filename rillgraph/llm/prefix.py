@@ -107,7 +107,7 @@ def run_rows(text: bytes, singly: bool = False) -> tuple[np.ndarray, ...]:
 
 FIELDS = ("a", "b", "doc", "tie", "start", "many")
 KINDS = (np.uint64,) * 2 + (np.int64,) * 4
-#: What a task hands on: rows with ranks for the partition they are sorted in, and spans of what it settles itself.
+#: What a task hands on: rows with ranks for the partition (by a hash of the first rank) that they are sorted in, and spans of what it settles itself.
 SENT = "bucket int, a long, b long, doc long, tie long, start long, many int, spans binary"
 
 
@@ -137,11 +137,12 @@ def _spans(parts: dict[str, np.ndarray]) -> pa.Table:
 
 
 def _sent(parts: dict[str, np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
-    """SENT of a task's rows: the first of equal pairs, dealt by equal ranges of the first rank, and spans of the others."""
+    """SENT of a task's rows: the first of equal pairs, and spans of the others."""
     parts = _chosen(parts, np.lexsort((parts["start"], parts["tie"], parts["doc"], parts["b"], parts["a"])))
     first, repeat = _firsts(parts)
     stay, settled = _chosen(parts, first), _spans(_chosen(parts, repeat))
-    bucket = ((stay["a"] >> np.uint64(40)).astype(np.int64) * buckets >> 24).astype(np.int32)
+    with np.errstate(over="ignore"):  # leading ranks are the least of many, so they are spread anew
+        bucket = ((_mixed(stay["a"] * _ODD) >> np.uint64(40)).astype(np.int64) * buckets >> 24).astype(np.int32)
     many = pa.array(stay["many"].astype(np.int32))
     columns = [pa.array(bucket), *(pa.array(stay[k].view(np.int64)) for k in FIELDS[:5]), many, pa.nulls(len(bucket), pa.binary())]
     yield pa.RecordBatch.from_arrays(columns, names=["bucket", *FIELDS, "spans"])
@@ -234,9 +235,9 @@ def _reranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _round(sent: DataFrame, buckets: int) -> DataFrame:
-    """One round: rows sorted by rank pair and position in ranges of the first rank, and told apart."""
-    ranged = sent.repartitionById(buckets, "bucket").drop("bucket")
-    return ranged.sortWithinPartitions("a", "b", "doc", "tie", "start").mapInArrow(_reranked, f"{spans.SPANS}, todo boolean")
+    """One round: rows sorted by rank pair and position, those of equal first rank together, and told apart."""
+    dealt = sent.repartitionById(buckets, "bucket").drop("bucket")
+    return dealt.sortWithinPartitions("a", "b", "doc", "tie", "start").mapInArrow(_reranked, f"{spans.SPANS}, todo boolean")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
