@@ -1,9 +1,8 @@
 """Path conditions: boolean functions of branch variables, and under which of them one block or node reaches another.
 
-A function of the variables v0 < v1 < ... is the pair (variables, truth table), the table an integer whose bit k is the value
-where bit j of k is that of vj. Variables on which it does not depend are left out, so equal functions are equal pairs. Beyond
-MAX_VARS variables a function counts as true, which loses no path. Functions are computed per program function or source, each of
-which is one group of rows.
+A function is a reduced ordered decision diagram: TRUE, FALSE, or a node (variable, function where it is false, function where it is true), variables
+growing downward. Nodes are kept once in a table, so equal functions are the same node, whatever their number of variables. The
+tables are given up before each group of rows. Functions are computed per program function or source, each of which is one group.
 """
 
 from __future__ import annotations
@@ -13,66 +12,120 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-MAX_VARS = 12
-Guard = tuple[tuple[int, ...], int]
-TRUE: Guard = ((), 1)
-FALSE: Guard = ((), 0)
+#: Up to so many variables a function is written as the assignments under which it holds, beyond as the diagram's paths.
+SPELLED = 12
 
 
-def var(v: int, positive: bool = True) -> Guard:
-    """The variable, or its complement."""
-    return ((v,), 0b10 if positive else 0b01)
+class Guard:
+    """A node of a diagram, made by _node() alone; compared by identity."""
+
+    __slots__ = ("high", "low", "var")
+
+    def __init__(self, var: int, low: Guard | None, high: Guard | None) -> None:
+        self.var, self.low, self.high = var, low, high
+
+    def __repr__(self) -> str:
+        return shown(self)
+
+    def support(self) -> tuple[int, ...]:
+        """The variables that it depends on."""
+        seen, todo, out = set(), [self], set()
+        while todo:
+            g = todo.pop()
+            if g.low is not None and id(g) not in seen:
+                seen.add(id(g))
+                out.add(g.var)
+                todo += [g.low, g.high]
+        return tuple(sorted(out))
+
 
+#: Terminals stand below all variables.
+_BELOW = 1 << 62
+FALSE, TRUE = Guard(_BELOW, None, None), Guard(_BELOW + 1, None, None)
+_nodes: dict[tuple[int, int, int], Guard] = {}
+_results: dict[tuple[str, int, int], Guard] = {}
 
-def _widened(g: Guard, over: tuple[int, ...]) -> int:
-    at = [over.index(v) for v in g[0]]
-    table = 0
-    for k in range(1 << len(over)):
-        own = sum((k >> a & 1) << j for j, a in enumerate(at))
-        table |= (g[1] >> own & 1) << k
-    return table
 
+def forget() -> None:
+    """Give up the tables; functions made before must not be joined with later ones."""
+    _nodes.clear()
+    _results.clear()
 
-def _normal(over: tuple[int, ...], table: int) -> Guard:
-    j = 0
-    while j < len(over):
-        low = [k for k in range(1 << len(over)) if not k >> j & 1]
-        if all((table >> k & 1) == (table >> (k | 1 << j) & 1) for k in low):
-            table = sum((table >> k & 1) << i for i, k in enumerate(low))
-            over = over[:j] + over[j + 1 :]
-        else:
-            j += 1
-    return over, table
 
+def _node(v: int, low: Guard, high: Guard) -> Guard:
+    if low is high:
+        return low
+    key = v, id(low), id(high)
+    if key not in _nodes:
+        _nodes[key] = Guard(v, low, high)
+    return _nodes[key]
 
-def _joined(a: Guard, b: Guard, op) -> Guard:
-    over = tuple(sorted({*a[0], *b[0]}))
-    if len(over) > MAX_VARS:
-        return TRUE
-    return _normal(over, op(_widened(a, over), _widened(b, over)))
+
+def var(v: int, positive: bool = True) -> Guard:
+    """The variable, or its complement."""
+    return _node(v, FALSE, TRUE) if positive else _node(v, TRUE, FALSE)
+
+
+def _joined(a: Guard, b: Guard, op: str) -> Guard:
+    """The conjunction (op &) or disjunction (op |)."""
+    zero, one = (FALSE, TRUE) if op == "&" else (TRUE, FALSE)
+    if zero in (a, b):
+        return zero
+    if a is one or a is b:
+        return b
+    if b is one:
+        return a
+    key = op, min(id(a), id(b)), max(id(a), id(b))
+    if key not in _results:
+        v = min(a.var, b.var)
+        (a0, a1), (b0, b1) = ((g.low, g.high) if g.var == v else (g, g) for g in (a, b))
+        _results[key] = _node(v, _joined(a0, b0, op), _joined(a1, b1, op))
+    return _results[key]
 
 
 def both(a: Guard, b: Guard) -> Guard:
     """Conjunction."""
-    return FALSE if FALSE in (a, b) else b if a == TRUE else a if b == TRUE else _joined(a, b, int.__and__)
+    return _joined(a, b, "&")
 
 
 def either(a: Guard, b: Guard) -> Guard:
     """Disjunction."""
-    return TRUE if TRUE in (a, b) else b if a == FALSE else a if b == FALSE else _joined(a, b, int.__or__)
+    return _joined(a, b, "|")
 
 
 def negated(a: Guard) -> Guard:
     """Complement."""
-    return a[0], a[1] ^ ((1 << (1 << len(a[0]))) - 1)
+    if a.low is None:
+        return FALSE if a is TRUE else TRUE
+    key = "!", id(a), 0
+    if key not in _results:
+        _results[key] = _node(a.var, negated(a.low), negated(a.high))
+    return _results[key]
+
+
+def holds(g: Guard, true: set[int]) -> bool:
+    """The value where exactly the variables of `true` are true."""
+    while g.low is not None:
+        g = g.high if g.var in true else g.low
+    return g is TRUE
 
 
 def shown(g: Guard) -> str:
     """The function as a sum of products, as text."""
-    if not g[0]:
-        return "true" if g[1] else "false"
-    terms = ["&".join(("" if k >> j & 1 else "!") + f"v{v}" for j, v in enumerate(g[0])) for k in range(1 << len(g[0])) if g[1] >> k & 1]
-    return "|".join(terms)
+    if g.low is None:
+        return "true" if g is TRUE else "false"
+    over = g.support()
+    if len(over) <= SPELLED:
+        chosen = (k for k in range(1 << len(over)) if holds(g, {v for j, v in enumerate(over) if k >> j & 1}))
+        return "|".join("&".join(("" if k >> j & 1 else "!") + f"v{v}" for j, v in enumerate(over)) for k in chosen)
+    out, todo = [], [(g, ())]
+    while todo:
+        at, terms = todo.pop()
+        if at is TRUE:
+            out.append("&".join(terms))
+        elif at.low is not None:
+            todo += [(at.high, (*terms, f"v{at.var}")), (at.low, (*terms, f"!v{at.var}"))]
+    return "|".join(out)
 
 
 def reached(edges: Iterable[tuple[int, int, Guard]], start: int) -> dict[int, Guard]:
@@ -103,20 +156,39 @@ def edge_guard(n_succ: int, succ_ix: int, first_var: int, test: str | None = Non
     return reduce(both, (var(first_var + j, bool(succ_ix >> j & 1)) for j in range(bits)), TRUE)
 
 
+# What runs in workers is at module level: it is found by name there, with that process's own TRUE and FALSE.
+
+
+def _blocks(rows):
+    import pandas as pd
+
+    forget()
+    edges = [(r.src, r.dst, FALSE if r.exits else edge_guard(r.n_succ, r.succ_ix, r.first_var, r.test)) for r in rows.itertuples()]
+    out = [(rows["func"].iloc[0], s, d, shown(g), g == TRUE) for s in sorted({e[0] for e in edges}) for d, g in sorted(reached(edges, s).items(), key=lambda x: x[0]) if d != s and g != FALSE]
+    return pd.DataFrame(out, columns=["func", "src", "dst", "guard", "always"])
+
+
 def block_guards(cfg: DataFrame) -> DataFrame:
     """(func, src, dst, guard, always): under which condition each block reaches another, as text.
 
     cfg: (func, src, dst, succ_ix, n_succ, first_var, test, exits): exits marks blocks (dst) that end the program; no path leads through them.
     """
-    import pandas as pd
+    kinds = dict(cfg.dtypes)
+    return cfg.groupBy("func").applyInPandas(_blocks, f"func {kinds['func']}, src long, dst long, guard string, always boolean")
 
-    def each(rows: pd.DataFrame) -> pd.DataFrame:
-        edges = [(r.src, r.dst, FALSE if r.exits else edge_guard(r.n_succ, r.succ_ix, r.first_var, r.test)) for r in rows.itertuples()]
-        out = [(rows["func"].iloc[0], s, d, shown(g), g == TRUE) for s in sorted({e[0] for e in edges}) for d, g in sorted(reached(edges, s).items()) if d != s and g != FALSE]
-        return pd.DataFrame(out, columns=["func", "src", "dst", "guard", "always"])
 
-    kinds = dict(cfg.dtypes)
-    return cfg.groupBy("func").applyInPandas(each, f"func {kinds['func']}, src long, dst long, guard string, always boolean")
+def _verdict(key, rows, ends):
+    import pandas as pd
+
+    forget()
+    given = [(r.src, r.dst, TRUE if pd.isna(r.v) else var(int(r.v), bool(r.positive))) for r in rows.itertuples()]
+    known = reached(given, key[0])
+    found = [known.get(n, FALSE) for n in sorted(set(ends["node"]))]
+    pair, whole = False, FALSE
+    for g in found:  # two hold together if one holds together with any before it
+        pair = pair or both(whole, g) != FALSE
+        whole = either(whole, g)
+    return pd.DataFrame([(key[0], shown(whole), whole == TRUE, whole != FALSE, pair)], columns=["source", "guard", "all_paths", "some_path", "pair"])
 
 
 def slice_verdicts(edges: DataFrame, sinks: DataFrame) -> DataFrame:
@@ -125,14 +197,4 @@ def slice_verdicts(edges: DataFrame, sinks: DataFrame) -> DataFrame:
 
     edges: (source, src, dst, v, positive; v null: no condition); sinks: (source, node). The slice starts at the source.
     """
-    import pandas as pd
-
-    def each(key, rows: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
-        given = [(r.src, r.dst, TRUE if pd.isna(r.v) else var(int(r.v), bool(r.positive))) for r in rows.itertuples()]
-        known = reached(given, key[0])
-        found = [known.get(n, FALSE) for n in sorted(set(ends["node"]))]
-        whole = reduce(either, found, FALSE)
-        pair = any(both(a, b) != FALSE for i, a in enumerate(found) for b in found[i + 1 :])
-        return pd.DataFrame([(key[0], shown(whole), whole == TRUE, whole != FALSE, pair)], columns=["source", "guard", "all_paths", "some_path", "pair"])
-
-    return edges.groupBy("source").cogroup(sinks.groupBy("source")).applyInPandas(each, "source long, guard string, all_paths boolean, some_path boolean, pair boolean")
+    return edges.groupBy("source").cogroup(sinks.groupBy("source")).applyInPandas(_verdict, "source long, guard string, all_paths boolean, some_path boolean, pair boolean")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillgraph.operators.fixpoint import closure, fixpoint
+from rillgraph.sources.shared import materialise
 
 
 def signatures(psets: DataFrame) -> DataFrame:
@@ -32,12 +33,18 @@ def disjoint_regions(psets: DataFrame, by: list[str] | None = None) -> DataFrame
 
 
 def superset_regions(psets: DataFrame) -> DataFrame:
-    """(pset, rep): the largest points-to set that holds all of each one, the smallest name of equal ones; itself if none is larger."""
-    sized = psets.distinct().groupBy("pset").agg(F.count("*").alias("n"))
-    p = psets.distinct()
-    shared = p.join(p.withColumnRenamed("pset", "other"), "obj").groupBy("pset", "other").agg(F.count("*").alias("common"))
-    over = shared.join(sized, "pset").filter("common = n").join(sized.withColumnsRenamed({"pset": "other", "n": "m"}), "other")
-    return over.groupBy("pset").agg(F.min_by("other", F.struct((-F.col("m")).alias("m"), F.col("other"))).alias("rep"))
+    """(pset, rep): the largest points-to set that holds all of each one, the smallest name of equal ones; itself if none is larger.
+
+    Different sets only are compared, each with those that hold the object of it which the fewest sets hold.
+    """
+    named = signatures(psets)
+    each = named.groupBy("objs").agg(F.min("pset").alias("other"))
+    held = materialise(each.withColumn("sig", F.col("objs")).select("other", "sig", F.size("sig").alias("m"), F.explode("sig").alias("obj")), "sets")
+    often = held.groupBy("obj").agg(F.count("*").alias("often"))
+    rarest = held.join(often, "obj").groupBy("other").agg(F.min(F.struct("often", "obj")).alias("r"), F.first("sig").alias("own")).select(F.col("other").alias("name"), "own", F.col("r.obj").alias("obj"))
+    over = rarest.join(held, "obj").filter((F.col("m") >= F.size("own")) & (F.size(F.array_except("own", "sig")) == 0))
+    best = over.groupBy("name").agg(F.min_by("other", F.struct((-F.col("m")).alias("m"), F.col("other"))).alias("rep"))
+    return named.join(each, "objs").join(best, F.col("other") == F.col("name")).select("pset", "rep")
 
 
 def regions_of(regions: DataFrame, psets: DataFrame) -> DataFrame:

@@ -8,15 +8,12 @@ from rillgraph.operators import contexts, fixpoint, guards, pointsto, reach, reg
 from rillgraph.plans import lenses
 from rillgraph.plans.lenses import CALLS, CONTEXTS, PSETS
 
-CUSTOMERS = 20
-
 
 def _pointer_facts(s, d):
-    """Facts of the first customers: second and third lines load and store through objects of their own space."""
-    copy = lenses.copies(s, d, CUSTOMERS)
-    cell = lambda c: F.col(c) % 40 + 10**12
-    line = lenses.read(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
-    addr = lenses.addresses(s, d, CUSTOMERS).select(cell("obj").alias("obj"), "ptr")
+    """Orders are pointers to cells of their customer; those with a second line load, those with a third store through them."""
+    copy = lenses.copies(s, d)
+    line = lenses.read(s, d, "lineitem").select("l_orderkey", "l_linenumber")
+    addr = lenses.cells(s, d)
     some = lambda n: line.filter(F.col("l_linenumber") == n).select(F.col("l_orderkey").alias("src")).distinct().join(copy, "src").select("src", "dst")
     return addr, copy, some(2), some(3)
 
@@ -27,8 +24,8 @@ def _andersen(s, d):
 
 def _alias(s, d):
     """Pairs of consecutive orders that share a part, transitively along copies."""
-    copy = lenses.copies(s, d, 200)
-    seed = lenses.addresses(s, d, 200).select(F.col("ptr").alias("var"), "obj")
+    copy = lenses.copies(s, d)
+    seed = lenses.addresses(s, d).select(F.col("ptr").alias("var"), "obj")
     pts = pointsto.propagate(seed, copy)
     return pointsto.aliases(copy.select(F.col("src").alias("a"), F.col("dst").alias("b")), pts)
 
@@ -46,7 +43,7 @@ def _cfl(s, d):
 
 def _paths(s, d):
     edges = lenses.calls(s, d).filter("caller < callee").select(F.col("caller").alias("src"), F.col("callee").alias("dst"), F.when(F.col("callee") % 2 == 0, F.col("callee") % 5).alias("offset"))
-    first = edges.filter("src < 5").select(F.col("src").alias("source"), F.col("dst").alias("mid"))
+    first = edges.select(F.col("src").alias("source"), F.col("dst").alias("mid"))
     pairs = first.join(edges.select(F.col("src").alias("mid"), F.col("dst").alias("sink")), "mid").select("source", "sink").distinct()
     found = reach.backward_paths(edges, pairs, max_edges=4, max_paths=20)
     return found.select("source", "sink", "path_id", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
@@ -60,6 +57,15 @@ def _api(s, d, context=0):
     return lenses.contexts(s, d).filter(F.col("context") == context).select("member")
 
 
+def _rare(s, d):
+    """Members of context 0 of which it has 100 pieces or more: few, so that there are contexts with none of them."""
+    l = lenses.read(s, d, "lineitem").filter("l_suppkey = 0")  # noqa: E741
+    return l.groupBy(F.col("l_partkey").alias("member")).agg(F.sum("l_quantity").alias("n")).filter("n >= 100").select("member")
+
+
+_RARE = "rare AS (SELECT l_partkey AS member FROM lineitem WHERE l_suppkey = 0 GROUP BY 1 HAVING sum(l_quantity) >= 100)"
+
+
 def _guarded(s, d):
     """Segments of L1 as slices: each release hangs on a condition of its own item."""
     i = lenses.items(s, d).filter("role = 'dealloc'")
@@ -69,7 +75,7 @@ def _guarded(s, d):
 
 def _mod_ref(s, d):
     c = lenses.calls(s, d)
-    local = lenses.contexts(s, d).filter("member % 10 = 0").select(F.col("context").alias("func"), (F.col("member") % 50).alias("obj"), F.when(F.col("member") % 20 == 0, "mod").otherwise("ref").alias("effect")).distinct()
+    local = lenses.contexts(s, d).select(F.col("context").alias("func"), (F.col("member") % 50).alias("obj"), F.when(F.col("member") % 20 == 0, "mod").otherwise("ref").alias("effect")).distinct()
     return regions.mod_ref(local, c.withColumn("cs", F.lit(0)), globals_=local.filter("obj % 20 = 0").select("obj").distinct())
 
 
@@ -87,21 +93,21 @@ QUERIES = {
     "x11_reachable": lambda s, d: fixpoint.closure(_edges(s, d), s.createDataFrame([(0,), (7,)], "src long")),
     "x24_matched_slice": _cfl,
     "x25_backward_paths": _paths,
-    "x26_verified": lambda s, d: reach.verified(_edges(s, d).filter("src % 9 = 0").select(F.col("src").alias("source"), (F.col("dst") + 1).alias("sink")), _edges(s, d).filter("src < dst")),
+    "x26_verified": lambda s, d: reach.verified(_edges(s, d).select(F.col("src").alias("source"), (F.col("dst") + 1).alias("sink")), _edges(s, d).filter("src < dst")),
     "x31_dominators": _dominators,
     "x27_guarded_release": _guarded,
     "x22_mod_ref": _mod_ref,
     "rr_disjoint_regions": lambda s, d: regions.disjoint_regions(lenses.psets(s, d)),
     "rr_distinct_regions": lambda s, d: regions.distinct_regions(lenses.psets(s, d)).select("region", F.array_join(F.transform("objs", lambda x: x.cast("string")), ",").alias("objs")),
-    "rr_superset_regions": lambda s, d: regions.superset_regions(lenses.psets(s, d).filter("pset % 10 = 0")),
+    "rr_superset_regions": lambda s, d: regions.superset_regions(lenses.psets(s, d)),
     "rs_alias_regions": lambda s, d: regions.regions_of(regions.disjoint_regions(lenses.psets(s, d)), lenses.psets(s, d)),
-    "j13_relevant": lambda s, d: contexts.relevant(lenses.contexts(s, d).filter("context > 0"), _api(s, d)),
-    "j13_irrelevant": lambda s, d: contexts.irrelevant(lenses.contexts(s, d).filter("context > 0"), _api(s, d)),
-    "j14_restricted": lambda s, d: contexts.restricted(lenses.psets(s, d).select(F.col("pset").alias("var"), F.col("obj").alias("member")).filter("var % 50 = 0"), lenses.contexts(s, d).filter("level < 5")),
+    "j13_relevant": lambda s, d: contexts.relevant(lenses.contexts(s, d).filter("context > 0"), _rare(s, d)),
+    "j13_irrelevant": lambda s, d: contexts.irrelevant(lenses.contexts(s, d).filter("context > 0"), _rare(s, d)),
+    "j14_restricted": lambda s, d: contexts.restricted(lenses.psets(s, d).select((F.col("pset") % 5).alias("var"), F.col("obj").alias("member")).distinct(), lenses.contexts(s, d)),
     "rj_undefined_below": lambda s, d: contexts.undefined_below(lenses.contexts(s, d).filter("member % 2 = 0"), lenses.contexts(s, d).filter("member % 3 = 0").select("level", "member")),
     "rm_totals": lambda s, d: contexts.totals(lenses.contexts(s, d)),
     "rn_level_map": lambda s, d: contexts.level_map(lenses.contexts(s, d)),
-    "ro_merged": lambda s, d: contexts.merged(_api(s, d), lenses.contexts(s, d), contexts.relevant(lenses.contexts(s, d).filter("context between 1 and 20"), _api(s, d)), [10**9]),
+    "ro_merged": lambda s, d: contexts.merged(_api(s, d), lenses.contexts(s, d), contexts.relevant(lenses.contexts(s, d).filter("context > 0"), _rare(s, d)), [10**9]),
     "rp_reduction": lambda s, d: contexts.reduction(lenses.contexts(s, d), lenses.contexts(s, d).join(_api(s, d), "member", "left_semi")),
     "rg_grouped": lambda s, d: contexts.grouped(lenses.contexts(s, d), 1500),
     "rd_reduced": lambda s, d: contexts.reduced(lenses.calls(s, d), s.createDataFrame([(0,), (1,)], "func long"), 30, 6),
@@ -115,11 +121,29 @@ QUERIES = {
 
 _REACH = f"""{CALLS}, e AS (SELECT caller AS src, callee AS dst FROM calls WHERE caller <> callee)"""
 
+#: Each source's literals v(node % 3), negated for odd nodes: the disjunction of them, spelled over the variables that matter.
+_VERDICTS = """
+lit AS (SELECT DISTINCT source, node % 3 AS v, node % 2 = 0 AS yes FROM items WHERE role = 'dealloc'),
+sure AS (SELECT source, bool_or(n = 2) AS all_paths FROM (SELECT source, v, count(*) AS n FROM lit GROUP BY 1, 2) GROUP BY source),
+vars AS (SELECT source, list(v ORDER BY v) AS vs, list(yes ORDER BY v) AS ys FROM lit JOIN sure USING (source) WHERE NOT all_paths GROUP BY source),
+terms AS (
+  SELECT source, k, list_reduce(list_transform(range(1, len(vs) + 1), lambda j: (CASE WHEN (k >> CAST(j - 1 AS INT)) & 1 = 1 THEN '' ELSE '!' END) || 'v' || CAST(vs[j] AS VARCHAR)), lambda x, y: x || '&' || y) AS term,
+    len(list_filter(range(1, len(vs) + 1), lambda j: ((k >> CAST(j - 1 AS INT)) & 1 = 1) = ys[j])) > 0 AS holds
+  FROM (SELECT *, unnest(range(0, 1 << CAST(len(vs) AS INT))) AS k FROM vars)),
+spelled AS (SELECT source, string_agg(term, '|' ORDER BY k) AS guard FROM terms WHERE holds GROUP BY source),
+many AS (SELECT source, count(*) AS n, count(DISTINCT node) AS nodes FROM items WHERE role = 'dealloc' GROUP BY source),
+meet AS (SELECT a.source FROM items a JOIN items b ON a.source = b.source AND a.node < b.node WHERE a.role = 'dealloc' AND b.role = 'dealloc' AND NOT (a.node % 3 = b.node % 3 AND a.node % 2 <> b.node % 2) GROUP BY 1),
+verdicts AS (
+  SELECT s.source, CASE WHEN all_paths THEN 'true' ELSE guard END AS guard, all_paths, TRUE AS some_path, s.source IN (SELECT source FROM meet) AS pair
+  FROM sure s LEFT JOIN spelled USING (source))"""
+
 ORACLES = {
+    "x27_guarded_release": f"WITH {lenses.ITEMS}, {_VERDICTS} SELECT * FROM verdicts",
+    "c8_partial_leaks": f"WITH {lenses.ITEMS}, {_VERDICTS} SELECT source FROM verdicts WHERE NOT all_paths",
     "j17_alias": """
 WITH RECURSIVE copies AS (
-  SELECT src, dst FROM (SELECT o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst FROM orders WHERE o_custkey < 200) WHERE dst IS NOT NULL),
-addr AS (SELECT DISTINCT l_partkey AS obj, l_orderkey AS ptr FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND o_custkey < 200),
+  SELECT src, dst FROM (SELECT o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst FROM orders) WHERE dst IS NOT NULL),
+addr AS (SELECT DISTINCT l_partkey AS obj, l_orderkey AS ptr FROM lineitem WHERE l_linenumber = 1),
 pts AS (SELECT ptr AS var, obj FROM addr UNION SELECT dst, obj FROM pts JOIN copies ON var = src)
 SELECT DISTINCT c.src AS a, c.dst AS b FROM copies c JOIN pts p ON p.var = c.src JOIN pts q ON q.var = c.dst AND p.obj = q.obj""",
     "x7_scc": f"""
@@ -150,15 +174,15 @@ SELECT DISTINCT source, node, array_to_string(ctx, ',') AS ctx FROM w""",
 WITH RECURSIVE {CALLS},
 e AS (SELECT caller AS src, callee AS dst FROM calls WHERE caller < callee),
 w AS (
-  SELECT DISTINCT a.src AS source, b.dst AS sink, b.dst AS cur, [b.dst] AS path FROM e a JOIN e b ON a.dst = b.src WHERE a.src < 5
+  SELECT DISTINCT a.src AS source, b.dst AS sink, b.dst AS cur, [b.dst] AS path FROM e a JOIN e b ON a.dst = b.src
   UNION
   SELECT source, sink, e.src, list_prepend(e.src, path) FROM w JOIN e ON w.cur = e.dst WHERE cur <> source AND len(path) <= 4),
 r AS (SELECT *, row_number() OVER (PARTITION BY source, sink ORDER BY len(path), path) - 1 AS path_id FROM w WHERE cur = source)
 SELECT source, sink, path_id::INT AS path_id, array_to_string(path, '>') AS path FROM r WHERE path_id <= 20""",
     "x26_verified": f"""
 WITH RECURSIVE {_REACH},
-r AS (SELECT src, dst FROM e WHERE src < dst AND src % 9 = 0 UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src AND e.src < e.dst)
-SELECT p.source, p.sink FROM (SELECT src AS source, dst + 1 AS sink FROM e WHERE src % 9 = 0) p
+r AS (SELECT src, dst FROM e WHERE src < dst UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src AND e.src < e.dst)
+SELECT p.source, p.sink FROM (SELECT src AS source, dst + 1 AS sink FROM e) p
 WHERE EXISTS (SELECT 1 FROM r WHERE r.src = p.source AND r.dst = p.sink)""",
     "x31_dominators": f"""
 WITH RECURSIVE {_REACH},
@@ -168,7 +192,7 @@ around AS (SELECT a.n AS a, 0::BIGINT AS n FROM b a WHERE a.n <> 0 UNION SELECT
 SELECT a.n AS a, b.n AS b FROM b a, b b WHERE NOT EXISTS (SELECT 1 FROM around r WHERE r.a = a.n AND r.n = b.n)""",
     "x22_mod_ref": f"""
 WITH RECURSIVE {CALLS}, {CONTEXTS},
-own AS (SELECT DISTINCT context AS func, member % 50 AS obj, CASE WHEN member % 20 = 0 THEN 'mod' ELSE 'ref' END AS effect FROM ctx WHERE member % 10 = 0),
+own AS (SELECT DISTINCT context AS func, member % 50 AS obj, CASE WHEN member % 20 = 0 THEN 'mod' ELSE 'ref' END AS effect FROM ctx),
 base AS (SELECT * FROM own UNION SELECT func, obj, 'ref' FROM own WHERE effect = 'mod'),
 w AS (SELECT * FROM base UNION SELECT c.caller, w.obj, w.effect FROM w JOIN calls c ON w.func = c.callee WHERE w.obj IN (SELECT obj FROM own WHERE obj % 20 = 0))
 SELECT DISTINCT func, obj, effect FROM w""",
@@ -179,7 +203,7 @@ SELECT min(obj) OVER (PARTITION BY s) AS region, obj FROM sig""",
 WITH {PSETS}, sig AS (SELECT pset, list(obj ORDER BY obj) AS s FROM psets GROUP BY pset)
 SELECT min(pset) AS region, array_to_string(s, ',') AS objs FROM sig GROUP BY s""",
     "rr_superset_regions": f"""
-WITH {PSETS}, p AS (SELECT * FROM psets WHERE pset % 10 = 0), n AS (SELECT pset, count(*) AS n FROM p GROUP BY pset),
+WITH {PSETS}, p AS (SELECT * FROM psets), n AS (SELECT pset, count(*) AS n FROM p GROUP BY pset),
 c AS (SELECT a.pset, b.pset AS other, count(*) AS k FROM p a JOIN p b ON a.obj = b.obj GROUP BY 1, 2),
 o AS (SELECT c.pset, c.other, m.n AS m, row_number() OVER (PARTITION BY c.pset ORDER BY m.n DESC, c.other) AS r FROM c JOIN n ON n.pset = c.pset AND n.n = c.k JOIN n m ON m.pset = c.other)
 SELECT pset, other AS rep FROM o WHERE r = 1""",
@@ -189,9 +213,9 @@ reg AS (SELECT min(obj) OVER (PARTITION BY s) AS region, obj FROM sig),
 n AS (SELECT region, count(*) AS n FROM reg GROUP BY region),
 k AS (SELECT pset, region, count(*) AS k FROM psets JOIN reg USING (obj) GROUP BY 1, 2)
 SELECT pset, region FROM k JOIN n USING (region) WHERE k = n""",
-    "j13_relevant": f"WITH {CONTEXTS} SELECT DISTINCT context FROM ctx WHERE context > 0 AND member IN (SELECT member FROM ctx WHERE context = 0)",
-    "j13_irrelevant": f"WITH {CONTEXTS} SELECT DISTINCT context FROM ctx WHERE context > 0 EXCEPT SELECT context FROM ctx WHERE member IN (SELECT member FROM ctx WHERE context = 0)",
-    "j14_restricted": f"WITH {CONTEXTS}, {PSETS} SELECT DISTINCT pset AS var, context, member FROM psets JOIN ctx ON obj = member WHERE pset % 50 = 0 AND level < 5",
+    "j13_relevant": f"WITH {CONTEXTS}, {_RARE} SELECT DISTINCT context FROM ctx WHERE context > 0 AND member IN (SELECT member FROM rare)",
+    "j13_irrelevant": f"WITH {CONTEXTS}, {_RARE} SELECT DISTINCT context FROM ctx WHERE context > 0 EXCEPT SELECT context FROM ctx WHERE member IN (SELECT member FROM rare)",
+    "j14_restricted": f"WITH {CONTEXTS}, {PSETS} SELECT DISTINCT pset % 5 AS var, context, member FROM psets JOIN ctx ON obj = member",
     "rj_undefined_below": f"""
 WITH {CONTEXTS}
 SELECT context, level, member FROM ctx u WHERE member % 2 = 0 AND NOT EXISTS (SELECT 1 FROM ctx d WHERE d.member = u.member AND d.member % 3 = 0 AND d.level < u.level)""",
@@ -200,9 +224,9 @@ SELECT context, level, member FROM ctx u WHERE member % 2 = 0 AND NOT EXISTS (SE
 WITH {CONTEXTS}, one AS (SELECT DISTINCT level, context FROM ctx)
 SELECT level, count(*) AS contexts, string_agg(CAST(context AS VARCHAR), ',' ORDER BY context) AS names FROM one GROUP BY level""",
     "ro_merged": f"""
-WITH {CONTEXTS}, api AS (SELECT member FROM ctx WHERE context = 0)
-SELECT member FROM api UNION SELECT 1000000000 UNION
-SELECT member FROM ctx WHERE context IN (SELECT context FROM ctx WHERE context BETWEEN 1 AND 20 AND member IN (SELECT member FROM api))""",
+WITH {CONTEXTS}, {_RARE}
+SELECT member FROM ctx WHERE context = 0 UNION SELECT 1000000000 UNION
+SELECT member FROM ctx WHERE context IN (SELECT context FROM ctx WHERE context > 0 AND member IN (SELECT member FROM rare))""",
     "rp_reduction": f"""
 WITH {CONTEXTS}
 SELECT context, count(*) AS original, count(*) FILTER (member IN (SELECT member FROM ctx WHERE context = 0)) AS relevant FROM ctx GROUP BY context""",

@@ -12,18 +12,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L1: (source, ord, node, role, field_ctx), a source for each user's stretch from one signup to the next."""
+    """L1: (source, ord, node, role, field_ctx), a source for each user's stretch from one signup to the next: the user's number times 2^32 and the stretch's."""
     by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
     segment = F.sum((F.col("event_type") == "signup").cast("long")).over(by_user.rowsBetween(Window.unboundedPreceding, 0))
     roles = F.create_map(*(F.lit(x) for x in ("signup", "alloc", "purchase", "dealloc", "error", "null_store", "click", "use", "view", "other")))
-    e = e.select((F.col("user_id") * 1000 + segment).alias("source"), F.row_number().over(by_user).alias("ord"), F.col("event_id").alias("node"), roles[F.col("event_type")].alias("role"))
+    e = e.select((F.col("user_id") * 2**32 + segment).cast("long").alias("source"), F.row_number().over(by_user).alias("ord"), F.col("event_id").alias("node"), roles[F.col("event_type")].alias("role"))
     return e.withColumn("field_ctx", F.lit(0))
 
 
 ITEMS = """
 items AS (
-  SELECT CAST(user_id * 1000 + sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS source,
+  SELECT CAST(user_id * 4294967296 + sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS source,
     row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord, event_id AS node,
     CASE event_type WHEN 'signup' THEN 'alloc' WHEN 'purchase' THEN 'dealloc' WHEN 'error' THEN 'null_store' WHEN 'click' THEN 'use' ELSE 'other' END AS role
   FROM events)"""
@@ -47,28 +47,42 @@ locks AS (
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L2: (caller, callee)."""
+    """L2: (caller, callee): suppliers are functions, and an order whose first line is of two pieces or less is a call; as many functions as suppliers."""
     l = read(spark, sf_dir, "lineitem").filter("l_linenumber = 1 and l_quantity <= 2")  # noqa: E741
-    return l.select(F.col("l_suppkey").alias("caller"), (F.col("l_partkey") % 100).alias("callee")).distinct()
+    n = read(spark, sf_dir, "supplier").count()
+    return l.select(F.col("l_suppkey").alias("caller"), (F.col("l_partkey") % n).alias("callee")).distinct()
 
 
-CALLS = "calls AS (SELECT DISTINCT l_suppkey AS caller, mod(l_partkey, 100) AS callee FROM lineitem WHERE l_linenumber = 1 AND l_quantity <= 2)"
+CALLS = "calls AS (SELECT DISTINCT l_suppkey AS caller, mod(l_partkey, (SELECT count(*) FROM supplier)) AS callee FROM lineitem WHERE l_linenumber = 1 AND l_quantity <= 2)"
 
 
-def addresses(spark: SparkSession, sf_dir: str, customers: int | None = None) -> DataFrame:
-    """L3: (obj, ptr), the part of an order's first line; of the first customers only, if given."""
-    l = read(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_partkey").alias("obj"), F.col("l_orderkey").alias("ptr")).distinct()  # noqa: E741
-    if customers is None:
-        return l
-    o = read(spark, sf_dir, "orders").filter(F.col("o_custkey") < customers).select(F.col("o_orderkey").alias("ptr"))
-    return l.join(o, "ptr", "left_semi").select("obj", "ptr")
+def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2: (node), every function: the numbers from 0 to that of the suppliers."""
+    n = read(spark, sf_dir, "supplier").count()
+    return spark.range(n + 1).select(F.col("id").alias("node"))
 
 
-def copies(spark: SparkSession, sf_dir: str, customers: int | None = None) -> DataFrame:
+FUNCTIONS = "functions AS (SELECT range AS node FROM range((SELECT count(*) + 1 FROM supplier)))"
+
+
+def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L3: (obj, ptr), the part of an order's first line."""
+    l = read(spark, sf_dir, "lineitem").filter("l_linenumber = 1")  # noqa: E741
+    return l.select(F.col("l_partkey").alias("obj"), F.col("l_orderkey").alias("ptr")).distinct()
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L3: (obj, ptr), the part of an order's first line as a memory cell of the order's customer, who has 16."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ptr"), "o_custkey")
+    return addresses(spark, sf_dir).join(o, "ptr").select((F.lit(10**12) + F.col("o_custkey") * 16 + F.col("obj") % 16).alias("obj"), "ptr").distinct()
+
+
+CELLS = "cells AS (SELECT DISTINCT 1000000000000 + o_custkey * 16 + obj % 16 AS obj, ptr FROM addr JOIN orders ON o_orderkey = ptr)"
+
+
+def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L3: (src, dst), each order of a customer and the next one."""
     o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
-    if customers is not None:
-        o = o.filter(F.col("o_custkey") < customers)
     following = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     return o.select(F.col("o_orderkey").alias("src"), following.alias("dst")).filter("dst is not null")
 

@@ -80,8 +80,8 @@ def _half(s, d):
 
 
 def _arrays(s, d):
-    o = lenses.psets(s, d).filter("pset % 20 = 0").groupBy("pset").agg(F.sort_array(F.collect_set("obj")).alias("a"))
-    b = lenses.psets(s, d).filter("pset % 20 = 1").groupBy(F.expr("pset - 1").alias("p")).agg(F.sort_array(F.collect_set("obj")).alias("b"))
+    o = lenses.psets(s, d).filter("pset % 2 = 0").groupBy("pset").agg(F.sort_array(F.collect_set("obj")).alias("a"))
+    b = lenses.psets(s, d).filter("pset % 2 = 1").groupBy(F.expr("pset - 1").alias("p")).agg(F.sort_array(F.collect_set("obj")).alias("b"))
     return o.join(b, F.col("pset") == F.col("p")).select(
         "pset", scalars.path_distance(F.col("a"), F.col("b")).alias("distance"), scalars.common_suffix(F.col("a"), F.col("b")).alias("suffix"), scalars.gcd(F.transform("a", lambda x: x.cast("long"))).alias("gcd"),
         F.arrays_overlap("a", "b").alias("meet"), scalars.subset(F.slice("a", 1, 1), F.col("a")).alias("within"), F.element_at(F.reverse("a"), 1).alias("last"),
@@ -155,7 +155,14 @@ SELECT user_id, CAST(list_reduce(list_prepend(0::DOUBLE, a), lambda x, y: floor(
     "f_strings": r"""
 SELECT doc_id, contains(line, 'th') AS has, split_part(line, '.', 1) AS head, lpad(CAST(doc_id AS VARCHAR), 8, '0') AS padded, length(CAST(n_chars AS VARCHAR)) AS digits,
   replace(line, 'th', '->') AS arrows, regexp_extract(line, '([a-z]+)\.', 1) AS dotted
-FROM (SELECT doc_id, substr(text, 1, 80) AS line, n_chars FROM documents)""",
+FROM (SELECT doc_id, text AS line, n_chars FROM documents)""",
     "f_bits": "SELECT p_partkey, CASE WHEN p_size <= 1 THEN 0 ELSE CAST(ceil(log2(p_size)) AS INT) END AS bits, (p_size >> 2) & 1 AS bit2, p_partkey % 7 AS off FROM part",
+    "f_arrays": f"""
+WITH {lenses.PSETS}, s AS (SELECT pset, list(obj ORDER BY obj) AS a FROM psets GROUP BY pset),
+p AS (SELECT x.pset, x.a, y.a AS b, least(len(x.a), len(y.a)) AS n, list_reverse(x.a) AS ra, list_reverse(y.a) AS rb FROM s x JOIN s y ON y.pset = x.pset + 1 WHERE x.pset % 2 = 0)
+SELECT pset, CAST(len(list_filter(range(1, n + 1), lambda i: a[i] <> b[i])) + abs(len(a) - len(b)) AS INT) AS distance,
+  CAST(coalesce(list_min(list_filter(range(1, n + 1), lambda i: ra[i] <> rb[i])) - 1, n) AS INT) AS suffix,
+  list_reduce(a, lambda x, y: gcd(x, y)) AS gcd, list_has_any(a, b) AS meet, list_has_all(a, a[1:1]) AS within, ra[1] AS last
+FROM p""",
     "f_json": "SELECT event_id, CAST(props->>'$.k' AS INT) AS k FROM events",
 }

@@ -1,6 +1,7 @@
 """Operators on hand-written facts and on random graphs, against plain Python."""
 
 import random
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -229,11 +230,18 @@ def test_guard_algebra():
     assert guards.either(guards.both(a, b), guards.both(a, guards.negated(b))) == a
     assert guards.shown(guards.both(a, guards.negated(b))) == "v1&!v2"
     assert guards.edge_guard(2, 1, 5) == guards.var(5) and guards.edge_guard(1, 0, 5) == guards.TRUE and guards.edge_guard(2, 0, 5, "eq_null") == guards.FALSE
-    assert len(guards.edge_guard(5, 4, 0)[0]) == 3
-    many = guards.TRUE
-    for v in range(guards.MAX_VARS + 1):
-        many = guards.both(many, guards.var(v))
-    assert many == guards.TRUE
+    assert guards.edge_guard(5, 4, 0).support() == (0, 1, 2)
+    many, any_ = guards.TRUE, guards.FALSE
+    for v in range(60):
+        many, any_ = guards.both(many, guards.var(v)), guards.either(any_, guards.var(v, False))
+    assert many not in (guards.TRUE, guards.FALSE) and guards.negated(many) == any_ and guards.both(many, any_) == guards.FALSE
+    assert guards.shown(many) == "&".join(f"v{v}" for v in range(60))
+    chance = random.Random(9)
+    for _ in range(50):
+        x, y = (reduce(chance.choice((guards.both, guards.either)), [guards.var(chance.randrange(6), chance.random() < 0.5) for _ in range(5)]) for _ in range(2))
+        true = {v for v in range(6) if chance.random() < 0.5}
+        assert guards.holds(guards.both(x, y), true) == (guards.holds(x, true) and guards.holds(y, true))
+        assert guards.holds(guards.either(x, guards.negated(y)), true) == (guards.holds(x, true) or not guards.holds(y, true))
 
 
 def test_guarded_release(spark):

@@ -1,5 +1,9 @@
 """Readers, writers, catalogs and the streaming rules."""
 
+import os
+from datetime import datetime, timedelta
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,21 +134,46 @@ def test_catalogs(spark, tmp_path):
     assert readers.system(spark).count() == 1
 
 
+def streamed(spark, tmp_path, files, schema, make, name):
+    """What a stream finds that reads the files one by one."""
+    for k, df in enumerate(files):
+        df.coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        os.utime(next(Path(f"{tmp_path}/in/{k}").glob("*.parquet")), (1000 + k, 1000 + k))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    query = make(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    return spark.table(name)
+
+
 def test_stream_agrees_with_batch(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
-    events = lenses.read(spark, sf, "events").filter("user_id < 20")
-    events.repartition(1).sortWithinPartitions("ts", "event_id").write.parquet(f"{tmp_path}/events")
-    stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/events")
-    query = streaming.findings(stream).writeStream.format("memory").queryName("found").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    got = spark.table("found")
+    events = lenses.read(spark, sf, "events").filter("user_id < 8").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    days = (last - first).days + 2
+    end = spark.createDataFrame([(10**9, last + timedelta(days=days + 1), -1, "view")], events.schema)
+    # three batches of mixed order, within what the watermark allows
+    files = [events.filter(F.col("event_id") % 3 == k) for k in range(3)] + [end]
+    got = streamed(spark, tmp_path, files, events.schema, lambda s: streaming.findings(s, f"{days} days"), "found")
+    got = got.filter("source >= 0")
     from rillgraph.operators import typestate
 
-    items = lenses.items(spark, sf).filter("source < 20000")
+    items = lenses.items(spark, sf).filter(F.col("source") < 8 << 32)
     assert rows(got.filter("rule = 'double_free'").drop("rule")) == rows(typestate.double_free(items))
     assert rows(got.filter("rule = 'use_after_free'").drop("rule")) == rows(typestate.use_after_free(items))
 
 
+def test_late_events_are_dropped(spark, tmp_path):
+    schema = "event_id long, ts timestamp, user_id long, event_type string"
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    batch = lambda *e: spark.createDataFrame([(i, at(h), 1, k) for i, h, k in e], schema)
+    # the click of hour 1 comes 89 hours behind; that of hour 99.5 comes out of order, before the release in time
+    files = [batch((1, 0, "purchase")), batch((2, 100, "purchase")), batch((4, 1, "click"), (5, 99.5, "click")), batch((6, 101, "click")), batch((9, 300, "view"))]
+    got = streamed(spark, tmp_path, files, schema, streaming.findings, "late")
+    assert rows(got) == sorted([(1 << 32, "use_after_free", 1, 5), (1 << 32, "double_free", 1, 2), (1 << 32, "use_after_free", 2, 6)], key=str)
+    counted = streamed(spark, tmp_path / "w", files, schema, streaming.windowed, "windows")
+    assert {(r.event_type, r.n) for r in counted.collect()} == {("purchase", 1), ("click", 1)}
+
+
 def test_registered_queries_have_names_and_sql():
     q, o = registered.queries(), registered.oracle_sql()
     assert len(q) > 60 and set(o) <= set(q)
