@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -59,6 +60,12 @@ def sweep(which: list[tuple[SparkSession, str]] | None = None) -> None:
 atexit.register(sweep)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let the driver's cleaner delete the shuffle files of what is no longer used: they go when the driver's heap is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, lost executors cost no recomputation."""
     spark = df.sparkSession

@@ -165,9 +165,17 @@ def _cut():
     return cut
 
 
-def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str = "n_chars", min_docs: int = MIN_DOCS, first: bool = False) -> DataFrame:
-    """docs with their own columns, texts without the lines that go, and n_chars_col, if there, counted anew."""
+def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str = "n_chars", min_docs: int = MIN_DOCS, first: bool = False, copies: float | None = None) -> DataFrame:
+    """docs with their own columns, texts without the lines that go, and n_chars_col, if there, counted anew.
+
+    With copies, a document that would lose more than that share of its characters keeps all its lines: it is a copy, or near copy, of others, which near
+    dedup tells, rather than a text with common lines. Null and empty texts become empty; rows equal in id and text are cut alike; an
+    empty table stays empty; texts of any length are read whole. Other columns are kept, whatever their names.
+    """
     cut = applied(docs, bitmaps(docs, id_col, text_col, min_docs, first), id_col, text_col)
     kinds = dict(docs.dtypes)
-    new = {text_col: F.col("__kept"), n_chars_col: F.length("__kept")}
+    kept, text = F.col("__kept"), F.coalesce(F.col(f"__row.`{text_col}`"), F.lit(""))
+    if copies is not None:
+        kept = F.when(F.length(kept) < (1 - copies) * F.length(text), text).otherwise(kept)
+    new = {text_col: kept, n_chars_col: F.length(kept)}
     return cut.select(*((new[c] if c in new else F.col(f"__row.`{c}`")).cast(kinds[c]).alias(c) for c in docs.columns))

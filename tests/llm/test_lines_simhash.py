@@ -153,3 +153,14 @@ def test_components(spark):
     got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
     assert got == {x: root(x) for x in parent if root(x) != x}
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_copies_keep_their_lines(spark):
+    body = [f"line {k} of a text that is copied" for k in range(8)]
+    given = [(k, "\n".join([*body, "shared footer"])) for k in range(12)] + [(100 + k, "\n".join([f"own {k} {j} " * 4 for j in range(5)] + ["shared footer"])) for k in range(5)]
+    given += [(200, None), (201, "")]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in given], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in lines.deduped(docs, copies=0.5).collect()}
+    assert got == {i: t if i < 12 else (t or "").replace("\nshared footer", "") for i, t in given}
+    assert {r.text for r in lines.deduped(docs).filter("doc_id < 12").collect()} == {""}
+    assert lines.deduped(docs.limit(0), copies=0.5).count() == 0

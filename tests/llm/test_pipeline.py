@@ -94,14 +94,20 @@ def test_sampled(spark):
 
 def test_run(spark, tmp_path):
     given, group = copies()
-    # one line for each text: a copy with a word in each line would lose its common words
-    given = [(i, "Common line\n" + (t or "").replace("\n", " "), s) for i, t, s in given] + [(1, None, None), (2, "short", "s1"), (3, "again and again " * 100, "s2")]
+    # a text in lines with more copies, exact and near, than make a line common: one stays, whole
+    chance = random.Random(5)
+    body = [" ".join(f"w{chance.randrange(900)}" for _ in range(12)) for _ in range(12)]
+    many = ["\n".join(body)] * 7 + ["\n".join([*body[:k], body[k] + f" own{k}", *body[k + 1 :]]) for k in range(8)]
+    given += [(9000 + k, t, "s1") for k, t in enumerate(many)]
+    group |= dict.fromkeys(range(9000, 9015), -1)
+    given = [(i, "Common line\n" + (t or "").replace("\n", " ") if i < 9000 else t, s) for i, t, s in given] + [(1, None, None), (2, "short", "s1"), (3, "again and again " * 100, "s2")]
     frame(spark, given).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality_rules", "line_dedup", "near_dedup", "mixing", "packing"]
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     ids = {r.doc_id for r in got}
     assert not ids & {1, 2, 3} and len({group[i] for i in ids}) == len(ids) > 60
+    assert {group[i] for i in ids if i >= 9000} <= {-1}
     library = Tokenizer.from_file(encode.vocabulary())
     texts = {i: t for i, t, _ in given}
     for r in got:
