@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillgraph.operators import callgraph
+from rillgraph.operators.fixpoint import closure
+from rillgraph.sources.shared import materialise
 
 
 def initcall_level(name: Column) -> Column:
@@ -105,8 +109,61 @@ def api_functions(functions: DataFrame, edges: DataFrame, part: str) -> DataFram
     return own.join(called, "func", "left_anti")
 
 
-def module_subset(functions: DataFrame, globals_: DataFrame, keep_functions: DataFrame, keep_globals: DataFrame, always_functions: list[str], always_globals: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Functions (func) and globals (name) of a module that are kept: those asked for and those never dropped."""
-    f = functions.join(keep_functions.select("func").distinct().withColumn("__k", F.lit(True)), "func", "left").filter(F.col("__k").isNotNull() | F.col("func").isin(always_functions)).drop("__k")
-    g = globals_.join(keep_globals.select("name").distinct().withColumn("__k", F.lit(True)), "name", "left").filter(F.col("__k").isNotNull() | F.col("name").isin(always_globals)).drop("__k")
-    return f, g
+def refined(edges: DataFrame, roots: DataFrame, depth: int, indirect: Callable[[DataFrame], DataFrame], blacklist: DataFrame | None = None) -> DataFrame:
+    """(root, func): a finer context. The slice over all calls is cut out, indirect calls (caller, callee) are resolved within it by a points-to analysis
+    of its functions (func), and the slice is taken again over direct and resolved calls (edges: caller, callee, kind).
+
+    All roots count, each with its own functions: a union where one call of the analysis after the other would overwrite the first.
+    """
+    coarse = callgraph.slice_forward(edges, roots, depth, blacklist).select("func").distinct()
+    own = edges.join(coarse.withColumnRenamed("func", "caller"), "caller", "left_semi").join(coarse.withColumnRenamed("func", "callee"), "callee", "left_semi")
+    resolved = indirect(coarse).select("caller", "callee")
+    finer = own.filter("kind = 'direct'").select("caller", "callee").unionByName(resolved).distinct()
+    return callgraph.slice_forward(finer, roots, depth, blacklist).select("root", "func")
+
+
+def grouped_by_limit(members: DataFrame, limit: int) -> DataFrame:
+    """(context, grp): as grouped(), without regard to levels."""
+    return grouped(members.withColumn("level", F.lit(0)), limit).select("context", "grp")
+
+
+def variable_functions(variables: DataFrame, edges: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((var, func), (var, name)): the functions that handle a global variable, and the globals and heap objects that flow to where it does.
+
+    Forward over the constraint graph's edges (src, dst, func) from each variable (var): functions of edges out of what is reached. From other
+    predecessors of what is reached, backward: functions of edges into those, and names (node, name) of the objects met.
+    """
+    own = variables.select("var").distinct()
+    reached = closure(edges, own.select(F.col("var").alias("src"))).select(F.col("src").alias("var"), F.col("dst").alias("node"))
+    reached = materialise(reached.unionByName(own.select("var", F.col("var").alias("node"))).distinct(), "reached")
+    ahead = reached.join(edges.select(F.col("src").alias("node"), "func"), "node").select("var", "func")
+    into = edges.select(F.col("dst").alias("node"), F.col("src").alias("p"))
+    other = reached.filter("node <> var").join(into, "node").select("var", F.col("p").alias("node")).distinct().join(reached, ["var", "node"], "left_anti")
+    up = closure(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), other.select(F.col("node").alias("src")).distinct())
+    back = materialise(other.join(up, other["node"] == up["src"]).select("var", F.col("dst").alias("node")).unionByName(other.select("var", "node")).distinct(), "back")
+    behind = back.join(edges.select(F.col("dst").alias("node"), "func"), "node").select("var", "func")
+    return ahead.unionByName(behind).filter("func is not null").distinct(), back.join(names, "node").select("var", "name").distinct()
+
+
+def with_callers(found: DataFrame, calls: DataFrame, initcalls: DataFrame) -> DataFrame:
+    """(var, func) of found with the functions that lead to those by calls (caller, callee), up to initcalls (func), which are not passed."""
+    up = callgraph.slice_backward(calls, found.select("func").distinct(), initcalls).select(F.col("root").alias("func"), F.col("func").alias("__f"))
+    return found.select("var", "func").unionByName(found.join(up, "func").select("var", F.col("__f").alias("func"))).distinct()
+
+
+def merged_maps(*maps: DataFrame) -> DataFrame:
+    """The union of several groups' maps (var, func) or (var, name)."""
+    out = maps[0]
+    for m in maps[1:]:
+        out = out.unionByName(m)
+    return out.distinct()
+
+
+def replaced(members: DataFrame, new: DataFrame) -> DataFrame:
+    """members (context, level, member) with those of the contexts in new in their place."""
+    return members.join(new.select("context").distinct(), "context", "left_anti").unionByName(new.select(*members.columns))
+
+
+def group_members(groups: DataFrame, members: DataFrame) -> DataFrame:
+    """(level, grp, member): the members of a group's contexts, from the contexts as they are now (groups: level, context, grp)."""
+    return groups.join(members.select("context", "member"), "context").select("level", "grp", "member").distinct()

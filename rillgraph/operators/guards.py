@@ -11,6 +11,7 @@ from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Up to so many variables a function is written as the assignments under which it holds, beyond as the diagram's paths.
 SPELLED = 12
@@ -198,3 +199,35 @@ def slice_verdicts(edges: DataFrame, sinks: DataFrame) -> DataFrame:
     edges: (source, src, dst, v, positive; v null: no condition); sinks: (source, node). The slice starts at the source.
     """
     return edges.groupBy("source").cogroup(sinks.groupBy("source")).applyInPandas(_verdict, "source long, guard string, all_paths boolean, some_path boolean, pair boolean")
+
+
+def _sink_guards(key, rows, ends):
+    import pandas as pd
+
+    forget()
+    known = reached([(r.src, r.dst, TRUE if pd.isna(r.v) else var(int(r.v), bool(r.positive))) for r in rows.itertuples()], key[0])
+    out = [(key[0], n, shown(g), g != FALSE) for n in sorted(set(ends["node"])) for g in [known.get(n, FALSE)]]
+    return pd.DataFrame(out, columns=["source", "node", "guard", "some_path"])
+
+
+def sink_guards(edges: DataFrame, sinks: DataFrame) -> DataFrame:
+    """(source, node, guard, some_path): the condition of each sink (source, node) of slices as in slice_verdicts(), and whether it can hold."""
+    return edges.groupBy("source").cogroup(sinks.groupBy("source")).applyInPandas(_sink_guards, "source long, node long, guard string, some_path boolean")
+
+
+def crossing_guards(inner: DataFrame, crossings: DataFrame) -> DataFrame:
+    """(func, src, to_func, dst, guard, always): conditions from a block of one function to a block of another, through a call or a return.
+
+    inner: as block_guards() gives it; crossings: (func, src, at, to_func, entered, dst). The value flows from src to at, the block of the call (or the
+    function's exit), then from entered, the callee's first block (or the block returned to), to dst: both conditions hold. Functions
+    have variables of their own, so the conjunction is written as it is.
+    """
+    def half(func: str, a: str, b: str, name: str) -> DataFrame:
+        return inner.select(F.col("func").alias(func), F.col("src").alias(a), F.col("dst").alias(b), F.col("guard").alias(f"__{name}"))
+
+    both = crossings.join(half("func", "src", "at", "c1"), ["func", "src", "at"], "left").join(half("to_func", "entered", "dst", "c2"), ["to_func", "entered", "dst"], "left")
+    # a block reaches itself without a condition; other blocks without one aren't reached
+    both = both.withColumn("__c1", F.when(F.col("src") == F.col("at"), "true").otherwise(F.col("__c1"))).withColumn("__c2", F.when(F.col("entered") == F.col("dst"), "true").otherwise(F.col("__c2")))
+    both = both.filter("__c1 is not null and __c2 is not null")
+    guard = F.when(F.col("__c1") == "true", F.col("__c2")).when(F.col("__c2") == "true", F.col("__c1")).otherwise(F.concat(F.lit("("), "__c1", F.lit(")&("), "__c2", F.lit(")")))
+    return both.select("func", "src", "to_func", "dst", guard.alias("guard"), (guard == "true").alias("always")).distinct()

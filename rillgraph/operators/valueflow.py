@@ -171,3 +171,132 @@ def use_after_return(edges: DataFrame, locals_: DataFrame, funcs: DataFrame, poi
     back = edges.select(F.col("src").alias("__s"), F.col("dst").alias("__d")).distinct()
     met = fixpoint(left, lambda new, _: new.join(back, new["node"] == back["__d"]).select("source", F.col("__s").alias("node")), label="backward")
     return met.join(pointers.select("node").distinct(), "node", "left_semi").filter("source <> node").select(F.col("source").alias("local"), F.col("node").alias("pointer")).distinct()
+
+
+def global_entry(stores: DataFrame, pts: DataFrame, formal_in: DataFrame) -> DataFrame:
+    """(src, dst, kind, obj): stores that initialise globals (node, ptr) to the entry function's incoming memory (node, obj), on what ptr points to (var, obj)."""
+    written = stores.join(pts, stores["ptr"] == pts["var"]).select(F.col("node").alias("src"), "obj")
+    return written.join(formal_in.select(F.col("node").alias("dst"), "obj"), "obj").select("src", "dst", F.lit("indirect").alias("kind"), "obj").distinct()
+
+
+GRAPH = ("src", "dst", "kind", "cs", "obj")
+
+
+def _as_graph(edges: DataFrame) -> DataFrame:
+    """Edges with all columns of GRAPH, null where they have none."""
+    return edges.select(*(F.col(c).cast("string") if c == "kind" else F.col(c).cast("long") if c in edges.columns else F.lit(None).cast("long").alias(c) for c in GRAPH))
+
+
+def connected(calls: DataFrame, args: DataFrame, params: DataFrame, rets: DataFrame, results: DataFrame, memory: dict[str, DataFrame] | None = None) -> DataFrame:
+    """GRAPH edges that calls (cs, func) add, found so far or only now: arguments (cs, pos, node) to parameters (func, pos, node), returned nodes (func, node)
+    to results (cs, node), and memory (actual_in: cs, node, obj; formal_in, formal_out: func, node, obj; actual_out: cs, node, obj)."""
+    given = calls.join(args.withColumnRenamed("node", "src"), "cs").join(params.withColumnRenamed("node", "dst"), ["func", "pos"])
+    back = calls.join(rets.withColumnRenamed("node", "src"), "func").join(results.withColumnRenamed("node", "dst"), "cs")
+    out = _as_graph(given.withColumn("kind", F.lit("call"))).unionByName(_as_graph(back.withColumn("kind", F.lit("ret"))))
+    if memory is not None:
+        into = crossing(memory["actual_in"], memory["formal_in"], calls).withColumn("kind", F.lit("call"))
+        leave = calls.join(memory["formal_out"].withColumnRenamed("node", "src"), "func").join(memory["actual_out"].withColumnRenamed("node", "dst"), ["cs", "obj"])
+        out = out.unionByName(_as_graph(into)).unionByName(_as_graph(leave.withColumn("kind", F.lit("ret"))))
+    return out.distinct()
+
+
+def memory_edges(ops: DataFrame, tree: DataFrame, regions: DataFrame) -> DataFrame:
+    """GRAPH edges through memory within functions: versions by renamed(), each definition's to its uses, with the regions' objects (region, obj)."""
+    versions = materialise(renamed(ops, tree), "versions")
+    region = F.struct("func", "region")
+    defs = versions.filter("def is not null").select(F.col("op").alias("node"), region.alias("region"), F.col("def").alias("version"))
+    uses_ = versions.filter("use is not null and use > 0").select(F.col("op").alias("node"), region.alias("region"), F.col("use").alias("version"))
+    named = versions.select("func", "region").distinct().join(regions, "region").select(region.alias("region"), "obj")
+    return _as_graph(indirect_edges(defs, uses_, named).filter("src <> dst"))
+
+
+def graph(defs: DataFrame, uses_: DataFrame, *more: DataFrame) -> DataFrame:
+    """GRAPH: the value-flow graph of top-level pointers (defs, uses: node, ptr) and further edges: connected(), memory_edges(), global_entry()."""
+    out = _as_graph(direct_edges(defs, uses_).withColumn("kind", F.lit("intra")))
+    for edges in more:
+        out = out.unionByName(_as_graph(edges.withColumn("kind", F.when(F.col("kind") == "indirect", "intra").otherwise(F.col("kind")))))
+    return out.distinct()
+
+
+def with_phis(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes) where a formal parameter, or the result of a call, is a phi of what its calls give: actual parameters and returned nodes go.
+
+    edges: GRAPH; nodes: (node, kind in ActualParm, FormalParm, FormalRet, ActualRet and others). What defines an argument then flows into the phi
+    by the call's edge, what defines a returned value by the return's.
+    """
+    kind = nodes.select("node", "kind").distinct()
+    gone = kind.filter("kind in ('ActualParm', 'FormalRet')").select("node")
+    outer = edges.join(gone.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("src").alias("__n"), F.col("dst").alias("__to"), F.col("kind").alias("__kind"), F.col("cs").alias("__cs"))
+    through = edges.join(outer, edges["dst"] == outer["__n"]).select("src", F.col("__to").alias("dst"), F.col("__kind").alias("kind"), F.col("__cs").alias("cs"), "obj")
+    rest = edges.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select(*GRAPH)
+    made = kind.join(gone, "node", "left_anti").withColumn("kind", F.when(F.col("kind").isin("FormalParm", "ActualRet"), "TInterPhi").otherwise(F.col("kind")))
+    return rest.unionByName(through.select(*GRAPH)).distinct(), made
+
+
+def external_sinks(callsites: DataFrame, catalog: DataFrame, args: DataFrame, defs: DataFrame, first_id: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): a node of its own for the first argument of each call (cs, callee) of a release or lock of the catalog (name, role), numbered first_id +
+    cs, and an edge from the argument's definition (node, ptr; args: cs, pos, ptr)."""
+    called = callsites.withColumn("name", F.substring_index("callee", ".", 1)).join(catalog.filter("role in ('dealloc', 'lock', 'unlock')"), "name")
+    own = called.join(args.filter("pos = 0"), "cs").select((F.col("cs") + first_id).alias("node"), F.lit("ActualParm").alias("kind"), "cs", "role", "ptr")
+    edges = own.join(defs.select(F.col("node").alias("src"), "ptr"), "ptr").select("src", F.col("node").alias("dst"), F.lit("intra").alias("kind"), "cs", F.lit(None).cast("long").alias("obj"))
+    return own.distinct(), edges.distinct()
+
+
+def backward(edges: DataFrame, starts: DataFrame, limit: int = reach.CONTEXT) -> DataFrame:
+    """(source, node, ctx): what flows into each start (node) in matched contexts, against the edges (src, dst, kind, cs): a return is entered, a call left."""
+    turned = F.when(F.col("kind") == "call", "ret").when(F.col("kind") == "ret", "call").otherwise(F.col("kind"))
+    return reach.forward(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), turned.alias("kind"), "cs"), starts, limit=limit, truncate=True)
+
+
+def lock_objects(edges: DataFrame, locks: DataFrame, nodes: DataFrame, api: DataFrame) -> DataFrame:
+    """(node): objects that are locked or unlocked: address nodes (node, kind, func) of the interface's functions (func) that flow into the arguments (node)."""
+    met = backward(edges, locks).select("node").distinct()
+    own = nodes.filter("kind = 'Addr'").join(api.select("func").distinct(), "func", "left_semi").select("node")
+    return met.join(own, "node", "left_semi")
+
+
+def _depths(edges: DataFrame, starts: DataFrame, stop: DataFrame, limit: int) -> DataFrame:
+    """(source, node, depth): the least number of edges by which starts reach nodes in matched contexts; nodes of stop (node) are reached but not passed."""
+    e = edges.select(F.col("src").alias("__s"), F.col("dst").alias("__d"), "kind", "cs")
+    seed = starts.select("source", "node", F.array().cast("array<bigint>").alias("ctx"), F.lit(0).alias("depth")).distinct()
+    ends = materialise(stop.select("node").distinct(), "ends")
+
+    def step(new: DataFrame, _: DataFrame) -> DataFrame:
+        hop = new.join(ends, "node", "left_anti").join(e, F.col("node") == F.col("__s"))
+        fits = (F.col("kind") != "ret") | reach.matches(F.col("ctx"), F.col("cs"))
+        then = F.when(F.col("kind") == "call", reach.push(F.col("ctx"), F.col("cs"), limit)).when(F.col("kind") == "ret", reach.pop(F.col("ctx"))).otherwise(F.col("ctx"))
+        return hop.filter(fits).select("source", F.col("__d").alias("node"), then.alias("ctx"), (F.col("depth") + 1).alias("depth"))
+
+    found = fixpoint(seed, step, ["source", "node", "ctx"], label="depths")
+    return found.groupBy("source", "node").agg(F.min("depth").alias("depth"))
+
+
+def direct_returns(edges: DataFrame, sources: DataFrame, nodes: DataFrame, limit: int = reach.CONTEXT) -> DataFrame:
+    """(source, store, addr): what a source (node) returned from a call is assigned to: forward to the first store, from there backward to the first address node
+    outside the forward slice.
+
+    nodes: (node, kind); first means by the fewest edges, then by id.
+    """
+    stores, addrs = nodes.filter("kind = 'Store'").select("node"), nodes.filter("kind = 'Addr'").select("node")
+    ahead = materialise(_depths(edges, sources.select(F.col("node").alias("source"), "node"), stores, limit), "ahead")
+    first = ahead.join(stores, "node", "left_semi").groupBy("source").agg(F.min_by("node", F.struct("depth", "node")).alias("store"))
+    turned = F.when(F.col("kind") == "call", "ret").when(F.col("kind") == "ret", "call").otherwise(F.col("kind"))
+    against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), turned.alias("kind"), "cs")
+    # edges into a source's forward slice are not gone back over, so each source walks a graph of its own
+    back = fixpoint(
+        first.select("source", "store", F.col("store").alias("node"), F.array().cast("array<bigint>").alias("ctx"), F.lit(0).alias("depth")),
+        lambda new, _: _back(new, against, ahead, addrs, limit),
+        ["source", "store", "node", "ctx"],
+        label="back",
+    )
+    met = back.join(addrs, "node", "left_semi").groupBy("source", "store").agg(F.min_by("node", F.struct("depth", "node")).alias("addr"))
+    return met.select("source", "store", "addr")
+
+
+def _back(new: DataFrame, against: DataFrame, ahead: DataFrame, ends: DataFrame, limit: int) -> DataFrame:
+    e = against.select(F.col("src").alias("__s"), F.col("dst").alias("__d"), "kind", "cs")
+    hop = new.join(ends, "node", "left_anti").join(e, F.col("node") == F.col("__s"))
+    hop = hop.join(ahead.select(F.col("source").alias("__x"), F.col("node").alias("__y")), (F.col("source") == F.col("__x")) & (F.col("__d") == F.col("__y")), "left_anti")
+    fits = (F.col("kind") != "ret") | reach.matches(F.col("ctx"), F.col("cs"))
+    then = F.when(F.col("kind") == "call", reach.push(F.col("ctx"), F.col("cs"), limit)).when(F.col("kind") == "ret", reach.pop(F.col("ctx"))).otherwise(F.col("ctx"))
+    return hop.filter(fits).select("source", "store", F.col("__d").alias("node"), then.alias("ctx"), (F.col("depth") + 1).alias("depth"))
