@@ -167,3 +167,12 @@ def replaced(members: DataFrame, new: DataFrame) -> DataFrame:
 def group_members(groups: DataFrame, members: DataFrame) -> DataFrame:
     """(level, grp, member): the members of a group's contexts, from the contexts as they are now (groups: level, context, grp)."""
     return groups.join(members.select("context", "member"), "context").select("level", "grp", "member").distinct()
+
+
+def module_subset(functions: DataFrame, globals_: DataFrame, keep_functions: DataFrame, keep_globals: DataFrame, always_functions: list[str], always_globals: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Functions (func) and globals (name) of a module that are kept: those asked for and those never dropped."""
+    def kept(given: DataFrame, chosen: DataFrame, key: str, always: list[str]) -> DataFrame:
+        marked = given.join(chosen.select(key).distinct().withColumn("__k", F.lit(True)), key, "left")
+        return marked.filter(F.col("__k").isNotNull() | F.col(key).isin(always)).drop("__k")
+
+    return kept(functions, keep_functions, "func", always_functions), kept(globals_, keep_globals, "name", always_globals)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rillgraph.functions import scalars
 from rillgraph.plans import lenses
 from rillgraph.plans.lenses import REPORTS
+from rillgraph.sources import store
 
 
 def versions_of(bugs: DataFrame) -> DataFrame:
@@ -55,13 +56,9 @@ def search(bugs: DataFrame, text: str) -> DataFrame:
     return bugs.filter(hit)
 
 
-def steps(bugs: DataFrame) -> DataFrame:
-    """(api_name, previous, following): neighbours in order of names within a version; behind the last comes the second, as in the browser."""
-    names = bugs.select("version", "api_name").distinct()
-    order = Window.partitionBy("version").orderBy("api_name")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    second = F.coalesce(F.nth_value("api_name", 2).over(whole), F.first("api_name").over(whole))
-    return names.select("version", "api_name", F.lag("api_name").over(order).alias("previous"), F.coalesce(F.lead("api_name").over(order), second).alias("following"))
+def steps(bugs: DataFrame, skip: bool = False) -> DataFrame:
+    """(version, api_name, previous, following): neighbours in order of names within a version, as store.browsed(); bugs are those found positive."""
+    return store.browsed(bugs.groupBy("version", "api_name").agg(F.count_if(F.col("status") == "Positive").alias("bugs")), skip)
 
 
 def matrix(bugs: DataFrame, types: list[str]) -> DataFrame:
@@ -103,6 +100,7 @@ QUERIES = {
     "q17_true_positives": lambda s, d: lenses.reports(s, d).filter("status = 'Positive'").join(first_corruptions(lenses.reports(s, d)).select("bug_id"), "bug_id", "left_semi").select("bug_id", "type"),
     "q18_search": lambda s, d: search(lenses.reports(s, d), "7").unionByName(search(lenses.reports(s, d), "api_7")).select("bug_id", "api_name").distinct(),
     "q19_steps": lambda s, d: steps(lenses.reports(s, d)),
+    "q19_positive_steps": lambda s, d: steps(lenses.reports(s, d), skip=True),
     "q20_split": lambda s, d: lenses.reports(s, d).groupBy(F.when(F.col("bug_id") % 2 == 0, "SYSCALL").otherwise("DRIVER").alias("api_type")).agg(F.countDistinct("api_name").alias("apis"), F.count("*").alias("bugs")),
     "q21_sorted": lambda s, d: lenses.reports(s, d).groupBy("api_name").agg(F.count("*").alias("n")).orderBy("api_name"),
     "q22_comments": lambda s, d: lenses.reports(s, d).select(F.concat_ws(":", F.col("version").cast("string"), "api_name", F.col("bug_id").cast("string")).alias("id")).select("id", F.split("id", ":")[1].alias("api_name"), F.split("id", ":")[2].cast("int").alias("n")),
@@ -138,9 +136,15 @@ SELECT t.version, api_name, duration FROM t JOIN m USING (version) WHERE duratio
     "q18_search": f"WITH {REPORTS} SELECT DISTINCT bug_id, api_name FROM reports WHERE bug_id = 7 OR api_name IN ('7', 'api_7')",
     "q19_steps": f"""
 WITH {REPORTS}, n AS (SELECT DISTINCT version, api_name FROM reports)
-SELECT version, api_name, lag(api_name) OVER w AS previous,
+SELECT version, api_name, coalesce(lag(api_name) OVER w, nth_value(api_name, 2) OVER (PARTITION BY version ORDER BY api_name DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), api_name) AS previous,
   coalesce(lead(api_name) OVER w, nth_value(api_name, 2) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), api_name) AS following
 FROM n WINDOW w AS (PARTITION BY version ORDER BY api_name)""",
+    "q19_positive_steps": f"""
+WITH {REPORTS}, n AS (SELECT version, api_name, CASE WHEN count(*) FILTER (status = 'Positive') > 0 THEN api_name END AS hit FROM reports GROUP BY 1, 2)
+SELECT version, api_name,
+  coalesce((SELECT max(hit) FROM n b WHERE b.version = n.version AND b.api_name < n.api_name), nth_value(api_name, 2) OVER (PARTITION BY version ORDER BY api_name DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), api_name) AS previous,
+  coalesce((SELECT min(hit) FROM n b WHERE b.version = n.version AND b.api_name > n.api_name), nth_value(api_name, 2) OVER (PARTITION BY version ORDER BY api_name ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), api_name) AS following
+FROM n""",
     "q20_split": f"WITH {REPORTS} SELECT CASE WHEN bug_id % 2 = 0 THEN 'SYSCALL' ELSE 'DRIVER' END AS api_type, count(DISTINCT api_name) AS apis, count(*) AS bugs FROM reports GROUP BY 1",
     "q21_sorted": f"WITH {REPORTS} SELECT api_name, count(*) AS n FROM reports GROUP BY api_name ORDER BY api_name",
     "q22_comments": f"WITH {REPORTS} SELECT CAST(version AS VARCHAR) || ':' || api_name || ':' || CAST(bug_id AS VARCHAR) AS id, api_name, CAST(bug_id AS INT) AS n FROM reports",

@@ -51,6 +51,12 @@ def related(syscalls: DataFrame, name: str) -> DataFrame:
     return syscalls.join(own, "grp", "left_semi").select("name").distinct()
 
 
+def syscalls_of(syscalls: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, category, grp): the system calls (name, category, grp) that these functions (func) are, by the name behind a sys_ or compat_sys_ in front."""
+    own = names.select(F.regexp_replace("func", r"^(__x64_|__se_|__do_)?(compat_)?sys_", "").alias("name")).distinct()
+    return syscalls.withColumn("__n", F.regexp_replace("name", r"^(compat_)?sys_", "")).join(own.withColumnRenamed("name", "__n"), "__n", "left_semi").drop("__n")
+
+
 def census(callsites: DataFrame, known: DataFrame) -> DataFrame:
     """(category, calls): how often each kind of catalog function is called (callsites: callee)."""
     named = callsites.withColumn("name", base_name(F.col("callee"))).join(known.select("name", "category").distinct(), "name")

@@ -1,4 +1,4 @@
-"""Writers: reports and bugs as text, initcall contexts, known bugs, graphs in DOT, comments as JSON."""
+"""Writers: reports and bugs as text, initcall contexts, known bugs, graphs in DOT."""
 
 from __future__ import annotations
 
@@ -41,6 +41,19 @@ def double_sink_text(bugs: DataFrame) -> DataFrame:
     return bugs.select("sink1", "sink2", text.alias("text"))
 
 
+def use_after_return_text(bugs: DataFrame) -> DataFrame:
+    """(pointer, local, text): bugs (pointer, local: places; api_path; local_path, pointer_path: text; functions: map of names to places; duration, null: timed out)."""
+    part = lambda title, body: F.concat_ws("\n", F.lit(SINGLE), F.lit(f"{title}:\n"), body)
+    entries = F.array_sort(F.map_entries("functions"), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+    one = lambda e: F.concat(F.lit(" - "), F.rpad(e["key"], F.greatest(F.lit(25), F.length(e["key"]) + 1), F.lit(" ")), e["value"]["file_name"], F.lit(" (ln: "), e["value"]["line"].cast("string"), F.lit(")"))
+    text = F.concat_ws(
+        "\n", F.lit(DOUBLE), part("DANGLING POINTER", location(F.col("pointer"))), part("LOCAL VARIABLE", location(F.col("local"))), part("API TO LOCALVAR", api_path(F.col("api_path"))),
+        part("LOCALVAR TO OUTOFSCOPE", F.col("local_path")), part("DANGLINGPTR TO OUTOFSCOPE", F.col("pointer_path")), part("FUNCTION-LOCATION MAP", F.array_join(F.transform(entries, one), "\n")),
+        F.lit(SINGLE), entry("Duration (sec)", F.coalesce(F.col("duration").cast("long").cast("string"), F.lit("timeout"))), F.lit(DOUBLE),
+    )
+    return bugs.select("pointer", "local", text.alias("text"))
+
+
 def first_of_equal(bugs: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Of bugs with equal keys, the first in order."""
     return bugs.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("__r = 1").drop("__r")
