@@ -22,8 +22,12 @@ from itertools import chain, compress, count, islice
 
 import numpy as np
 
+from rillgraph.llm.common import trim
+
 #: Distinct words, and pieces of them, that an encoder remembers; beyond that it keeps the half that it met most often.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+#: Of these, how many it keeps from one task to the next, as one text: idle workers should hold little.
+KEPT = 60_000
 #: Pieces of words that the library gets as one text.
 TOGETHER = 1000
 
@@ -81,12 +85,16 @@ class Memo:
         """learn gives the ids of a list of keys one after another, and how many each has."""
         self.learn = learn
         self.known: dict = defaultdict(count().__next__)
+        self.held: str | None = None
         self.ids, self.first, self.many, self.met = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def of(self, groups: list[list]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all groups of keys one after another, and how many each group has."""
-        if len(self.known) > REMEMBERED:
-            self._shrink()
+        if self.held is not None:
+            self._chosen(self.held.split("\n"))
+            self.held = None
+        elif len(self.known) > REMEMBERED:
+            self._chosen(self._shrink(REMEMBERED // 2))
         before = len(self.known)
         counts = np.fromiter(map(len, groups), np.int64, len(groups))
         at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(groups)), np.int64, int(counts.sum()))
@@ -99,15 +107,25 @@ class Memo:
         ends = np.append(0, np.cumsum(self.many[at]))
         return gathered(self.ids, self.first, self.many, at), np.diff(ends[np.append(0, np.cumsum(counts))])
 
-    def _shrink(self) -> None:
-        """Keep the half of REMEMBERED met most often."""
-        keep = np.sort(np.argpartition(-self.met, REMEMBERED // 2)[: REMEMBERED // 2])
+    def rest(self) -> None:
+        """Keep the KEPT keys met most often, as one text until they are needed."""
+        if self.held is None and self.known:
+            self.held = "\n".join(self._shrink(KEPT))
+            self.known = {}
+
+    def _chosen(self, keys: list) -> None:
+        self.known = defaultdict(count(len(keys)).__next__, zip(keys, range(len(keys)), strict=True))
+
+    def _shrink(self, n: int) -> list:
+        """The n keys met most often, in their order; all else about the others goes."""
+        keep = np.sort(np.argpartition(-self.met, n)[:n]) if n < len(self.met) else np.arange(len(self.met))
         chosen = np.zeros(len(self.met), bool)
         chosen[keep] = True
-        self.known = defaultdict(count(len(keep)).__next__, zip(compress(self.known, chosen.tolist()), range(len(keep)), strict=False))
+        keys = list(compress(self.known, chosen.tolist()))
         self.ids = gathered(self.ids, self.first, self.many, keep)
         self.many, self.met = self.many[keep], self.met[keep] // 2  # what was met long ago weighs less
         self.first = np.cumsum(self.many) - self.many
+        return keys
 
 
 class Encoder:
@@ -139,6 +157,12 @@ class Encoder:
             self.last[k] = token.endswith(ending)
         return library.from_str(json.dumps(spec))
 
+    def rest(self) -> None:
+        """At a task's end: keep little."""
+        self.words.rest()
+        self.pieces.rest()
+        trim()
+
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]  # without places in the text
         lens = np.fromiter(map(len, ids), np.int64, len(ids))

@@ -101,6 +101,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
             own = pa.array([d for d, _ in held], pa.int64()).take(pa.array(doc))
             yield pa.RecordBatch.from_arrays([own, pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(at + np.arange(len(doc)))], names=["doc_id", "piece", "start", "length", "ids_crc32", "__at"])
             at += len(doc)
+        encoder.rest()
 
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.col(f"`{text_col}`").alias("t"))
     return texts.mapInArrow(cut, f"{PIECE}, __at long")

@@ -146,6 +146,7 @@ def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
                 writer.add([d for d, _ in held], ids, lens)
                 n += len(held)
             writer.close()
+        encoder.rest()
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "uri": [f"{folder}/{path.rpartition('/')[2]}"], "n_docs": pa.array([n], pa.int64()), "n_tokens": pa.array([writer.n], pa.int64())})
 
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.col(f"`{text_col}`").alias("t"))

@@ -23,11 +23,14 @@ def test_latin_words_and_the_memos():
     want = [library.encode(t, add_special_tokens=False).ids for t in given]
     made = encode.Encoder(encode.vocabulary())
     assert made.merges is not None
-    remembered, encode.REMEMBERED = encode.REMEMBERED, 150
+    remembered, encode.REMEMBERED, encode.KEPT = (encode.REMEMBERED, encode.KEPT), 150, 40
     try:
         for k in range(0, 400, 7):  # the memos shrink again and again
             ids, lens = made.encode(given[k : k + 7])
             assert lens.tolist() == [len(x) for x in want[k : k + 7]] and ids.tolist() == [i for x in want[k : k + 7] for i in x]
             assert len(made.words.known) == len(made.words.many) == len(made.words.first)
+            if k % 3 == 0:
+                made.rest()
+                assert made.words.held is not None
     finally:
-        encode.REMEMBERED = remembered
+        encode.REMEMBERED, encode.KEPT = remembered
