@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of rillgraph.plans; each has QUERIES (name to function) and ORACLES (name to SQL).
-PLANS: tuple[str, ...] = ("checkers", "graphs", "reports", "programs")
+PLANS: tuple[str, ...] = ("checkers", "graphs", "reports", "programs", "facts")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
