@@ -80,16 +80,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Rows of an Arrow batch at most where whole texts go to Python: a batch is held twice outside the heap.
-BATCH_ROWS = 1000
+#: Bytes of an Arrow batch at most, about, where whole texts go to Python: a batch is held twice outside the heap.
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """From now on the session's Arrow batches have BATCH_ROWS rows at most. Spark reads the setting when the caller runs the plan, so
+    """From now on the session's Arrow batches have BATCH_BYTES at most, a row at least. Spark reads the setting when the caller runs the plan, so
     it can't be set back here."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if _bytes(spark, spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
+def _bytes(spark: SparkSession, size: str) -> int:
+    return int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(size))
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillgraph.llm.common import SPACE, partitions, rows, table
+from rillgraph.llm.common import SPACE, partitions, rows, small_batches, table
 
 MIN_DOCS = 10
 SETTLED, HELD, DROPPED, LINES = range(4)
@@ -119,6 +119,7 @@ def bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     documents or more goes everywhere. Blank lines always stay. A null or empty text is one empty line. A null id is the
     smallest. Rows equal in id and text are one document. No rows give no rows.
     """
+    small_batches(docs.sparkSession)
     doc, text_hash = _identity(docs, id_col, text_col)
     texts = docs.select(doc.alias("doc"), text_hash.alias("text_hash"), F.col(f"`{text_col}`").alias("text"))
     found = table(texts.mapInArrow(_found(min_docs, first), ROW), "lines")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillgraph.llm import encode
-from rillgraph.llm.common import rows, table
+from rillgraph.llm.common import rows, small_batches, table
 
 CAPACITY = 2048
 #: Pieces of a shard, about.
@@ -84,6 +84,7 @@ def best_two_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """A row (PIECE, and __at, its task's number and its own in it) for each piece of each document."""
+    small_batches(docs.sparkSession)
     vocabulary = vocabulary or encode.vocabulary()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillgraph.llm import encode
-from rillgraph.llm.common import open_fs, partitions, rows, scratch, table
+from rillgraph.llm.common import open_fs, partitions, rows, scratch, small_batches, table
 
 MAGIC = b"RGTOKENS"
 #: Ids of a block, a multiple of 8, so that blocks of any width end at a byte.
@@ -132,6 +132,7 @@ def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     Other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder, vocabulary = scratch(spark, "tokens"), vocabulary or encode.vocabulary()
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
