@@ -4,7 +4,8 @@ A document's fingerprint has a bit set where over half its shingles' hashes have
 partitioned by a vantage-point tree, fitted on a bounded sample: a node sends what is within its distance to the left, the rest to the
 right. By the triangle inequality, two fingerprints within the radius can only be parted by a node if both are near its
 boundary, so those of one side's edge also visit the other side, and each shard compares what lives there with itself and with its
-visitors. All pairs within the radius are found; a shard hands on a spanning forest of its links only.
+visitors. A shard that has many more than its share of the sample foretold is divided again by a tree of its own, so no large shard is
+compared one with all. All pairs within the radius are found; a shard hands on a spanning forest of its links only.
 """
 
 from __future__ import annotations
@@ -94,9 +95,10 @@ class Tree:
         self.nodes[at] = (vantage, mu, inward, left, right)
         return at
 
-    def deal(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(shard, places in x, whether each visits) for the shards that get any; each fingerprint lives in one shard."""
-        todo = [(0, np.arange(len(x)), np.zeros(len(x), bool))]
+    def deal(self, x: np.ndarray, visits: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(shard, places in x, whether each visits) for the shards that get any; each fingerprint lives in one shard, but those that only visit from the
+        first on."""
+        todo = [(0, np.arange(len(x)), np.zeros(len(x), bool) if visits is None else visits)]
         while todo:
             at, own, visits = todo.pop()
             if not len(own):
@@ -140,6 +142,22 @@ def linked(own: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[np.ndarr
     return everyone[a], everyone[b]
 
 
+def divided(own: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """As linked(), by a tree fitted on the shard itself if it is large; forests of its parts together connect the same."""
+    tree = None
+    if len(own) > 2 * SHARD:
+        sample = own if len(own) <= SAMPLE else np.random.default_rng(3).choice(own, SAMPLE, replace=False)
+        tree = Tree(sample, SHARD * len(sample) // len(own), radius)
+    if tree is None or tree.leaves == 1:
+        return linked(own, visitors, radius)
+    x, u, v = np.concatenate([own, visitors]), [], []
+    for _, at, visits in tree.deal(x, np.arange(len(x)) >= len(own)):
+        a, b = linked(np.sort(x[at[~visits]]), np.unique(x[at[visits]]), radius)
+        u.append(a)
+        v.append(b)
+    return np.concatenate(u), np.concatenate(v)
+
+
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (u, v) that connect what pairs of the distinct fingerprints (column fp) within the radius connect."""
     n = distinct.count()
@@ -155,7 +173,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     def compared(group: pa.Table) -> pa.Table:
         x, visits = group["fp"].to_numpy().view(np.uint64), group["visits"].to_numpy()
-        u, v = linked(np.sort(x[~visits]), np.unique(x[visits]), radius)
+        u, v = divided(np.sort(x[~visits]), np.unique(x[visits]), radius)
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
     shards = distinct.select("fp").mapInArrow(dealt, "shard int, fp long, visits boolean")

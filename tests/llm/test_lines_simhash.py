@@ -164,3 +164,24 @@ def test_copies_keep_their_lines(spark):
     assert got == {i: t if i < 12 else (t or "").replace("\nshared footer", "") for i, t in given}
     assert {r.text for r in lines.deduped(docs).filter("doc_id < 12").collect()} == {""}
     assert lines.deduped(docs.limit(0), copies=0.5).count() == 0
+
+
+def test_large_shards_are_divided(monkeypatch):
+    chance = np.random.default_rng(11)
+    base = chance.integers(0, 1 << 63, 60, np.uint64)
+    near = [b ^ np.uint64(sum(1 << int(k) for k in chance.choice(64, chance.integers(0, 4), replace=False))) for b in base for _ in range(25)]
+    own = np.unique(np.array(near[:1200], np.uint64))
+    visitors = np.setdiff1d(np.unique(np.array(near[1200:], np.uint64)), own)
+    monkeypatch.setattr(simhash, "SHARD", 32)
+
+    def roots(u, v):
+        up = {int(x): int(x) for x in np.concatenate([own, visitors])}
+        find = lambda x: x if up[x] == x else find(up[x])
+        for a, b in zip(u.tolist(), v.tolist(), strict=True):
+            p, q = sorted((find(a), find(b)))
+            up[q] = p
+        return {x: find(x) for x in up}
+
+    for sample in (1 << 15, 64):
+        monkeypatch.setattr(simhash, "SAMPLE", sample)
+        assert roots(*simhash.divided(own, visitors, 2)) == roots(*simhash.linked(own, visitors, 2))

@@ -62,23 +62,6 @@ def test_one_of_each(spark, monkeypatch, shard):
     assert near.one_of_each(docs.limit(0)).count() == 0
 
 
-def test_views_meet():
-    """Of pairs at 0.8 or more nearly all meet in a view and are linked; pairs of different texts never are."""
-    chance = random.Random(2)
-    met = far = 0
-    for _ in range(60):
-        w = [str(chance.randrange(10**6)) for _ in range(400)]
-        x = list(w)
-        for k in chance.sample(range(400), 8):
-            x[k] = "new"
-        assert alike(" ".join(w), " ".join(x)) >= 0.8
-        fps = np.stack([near.wide(simhash.hashes(" ".join(t), 5)) for t in (w, x)])
-        met += any(len(near.linked(fps, np.array([False, False]), v)[0]) for v in range(near.VIEWS))
-        other = near.wide(simhash.hashes(" ".join(str(chance.randrange(10**6)) for _ in range(400)), 5))
-        far += np.bitwise_count(fps[0] ^ other).sum() <= near.DISTANCE
-    assert met >= 55 and far == 0
-
-
 def test_sampled(spark):
     given, _ = copies()
     given += [(7, None, "s0"), (8, "", None), (None, "null id words", None)]
