@@ -104,8 +104,10 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The documents that pass, with their own columns.
+    """The documents that pass, with their own columns, whatever their names.
 
+    A null or empty text has no words and fails. Rows of equal ids are judged each by its own text, and each counts for its host; a null host is a host of its
+    own. Texts are measured whole, where they lie, however long. An empty table stays empty.
     The measures are taken twice, once for the hosts' counts and once for the rows kept: texts are never shuffled
     unless the rejected hosts are too many to broadcast.
     """

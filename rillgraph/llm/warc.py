@@ -1,7 +1,8 @@
 """WARC archives in which equal payloads are kept once.
 
-Payload digests are grouped (greatest id for each, partial before the shuffle) to find the record that keeps the payload; the others
-are written as revisits that refer to it. Archives are gzip members, one for each record, in files beside Spark's own in the shared
+Headers alone are shuffled by payload digest: grouped (greatest id for each, partial before the shuffle) to find the record that keeps the payload, and
+joined to that. Payloads meet what was found by their page, so a payload that a third of all pages have gathers nowhere. The others are written as
+revisits that refer to the keeper. Archives are gzip members, one for each record, in files beside Spark's own in the shared
 folder. What a lost or repeated task wrote is never read: the table of files that Spark commits names the valid ones.
 """
 
@@ -90,16 +91,18 @@ def resolved(pages: DataFrame, id_col: str, uri_col: str, html_col: str) -> Data
     # headers only: the greatest page of each digest that several pages have
     same = given.filter("digest is not null and page is not null").groupBy("digest").agg(F.max(F.struct("page", "uri")).alias("k"), F.count("*").alias("n"))
     same = same.filter("n > 1").select(F.col("digest").alias("d"), F.col("k.page").alias("keeper_page"), F.col("k.uri").alias("keeper_uri"))
-    both = given.join(same, F.col("digest") == F.col("d"), "left")
-    own = F.col("page").isNull() | (F.col("page") == F.col("keeper_page"))
-    return both.select("page", "uri", "html", F.when(~own, F.col("keeper_page")).alias("keeper_page"), F.when(~own, F.col("keeper_uri")).alias("keeper_uri"))
+    headers = given.filter("digest is not null and page is not null").select("page", "digest").distinct()
+    revisits = headers.join(same, F.col("digest") == F.col("d")).filter("page <> keeper_page").select(F.col("page").alias("p"), "d", "keeper_page", "keeper_uri")
+    both = given.join(revisits, (F.col("page") == F.col("p")) & (F.col("digest") == F.col("d")), "left")
+    return both.select("page", "uri", "html", "keeper_page", "keeper_uri")
 
 
 def write(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", html_col: str = "html", date: str = "2026-01-01T00:00:00Z") -> DataFrame:
     """Write an archive for each task; a row (uri, records) for each.
 
     A null html is an empty payload, a null address is left out. Of pages with equal payloads of LEAST_BYTES bytes or more,
-    that with the largest id keeps it (rows that repeat this id keep theirs too); a page without id always keeps its own.
+    that with the largest id keeps it (rows that repeat this id keep theirs too); a page without id always keeps its own. Payloads are written whole, one
+    record at a time, however long. An empty table gives archives without records or none. Other columns are not read, whatever their names.
     """
     folder = scratch(pages.sparkSession, "warc")
 
@@ -122,7 +125,7 @@ def write(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", html_
 def read(archives: DataFrame, id_col: str = "page_id") -> DataFrame:
     """A row for each record: id, payload_bytes, payload_digest, record_type, refers_to (the id of the page referred to).
 
-    Digests and lengths of responses are checked against their payloads; those of revisits are what their headers say. Revisits are
+    No archives, or empty ones, give no rows; a record is read whole, one at a time. Digests and lengths of responses are checked against their payloads; those of revisits are what their headers say. Revisits are
     joined to the responses that they refer to by record id.
     """
 

@@ -1,5 +1,6 @@
 """Quality rules and mixing against plain Python, with nulls, empty texts, ties, repeated rows, clashing names."""
 
+import random
 import re
 
 from rillgraph.llm import mixing, quality
@@ -88,3 +89,31 @@ def test_prefix_sums_over_buckets(spark, monkeypatch):
     whole = sorted(map(tuple, mixing.mix(table(spark, rows)).collect()))
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
     assert sorted(map(tuple, mixing.mix(table(spark, rows)).collect())) == whole
+
+
+def test_keep_against_plain_python(spark):
+    """The stage keeps what verdicts() keeps, and base_failed is what the rules say, with nulls, empty texts, repeated ids, clashing names."""
+    chance = random.Random(6)
+    word = lambda: "".join(chance.choice("abcdefg") for _ in range(chance.randint(1, 8)))
+    given = []
+    for k in range(240):
+        n = chance.choice([0, 10, 49, 50, 51, 200])
+        text = " ".join(word() for _ in range(n)) if chance.random() < 0.8 else "again and again " * (n // 3)
+        given.append((k % 200, text, ["good.example", "mixed.example", None][k % 3] if n > 20 else "bad.example", k))
+    given += [(None, None, "good.example", 1), (7, "", None, 2), (7, " \n\t", "good.example", 3)]
+    docs = spark.createDataFrame(given, "doc_id long, text string, source string, n_words long")
+
+    def failed(text):
+        words = (text or "").split()
+        windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        often = {w for w in windows if windows.count(w) > 1}
+        hit = {k + j for k, w in enumerate(windows) if w in often for j in range(3)}
+        return len(words) < 50 or 100 * len(hit) > 50 * len(words)
+
+    kept = quality.keep(docs)
+    assert kept.columns == docs.columns
+    judged = quality.verdicts(docs.withColumnRenamed("n_words", "n"))
+    assert sorted(r.base_failed for r in judged.collect()) == sorted(failed(t) for _, t, _, _ in given)
+    want = sorted((r.doc_id for r in judged.filter("kept").collect()), key=str)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == want and 60 < len(want) < 200
+    assert not {"bad.example"} & {r.source for r in kept.collect()} and quality.keep(docs.limit(0)).count() == 0
