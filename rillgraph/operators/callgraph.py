@@ -98,3 +98,15 @@ def named_like(functions: DataFrame, parts: DataFrame) -> DataFrame:
     if not given:
         return functions.limit(0)
     return functions.filter(F.col("func").rlike("|".join(re.escape(p) for p in given)))
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """(top, mean, nodes): the largest and the mean number of calls out of a function, and how many functions call."""
+    out = edges.groupBy("caller").agg(F.count("*").alias("n"))
+    return out.agg(F.max("n").alias("top"), F.round(F.avg("n"), 6).alias("mean"), F.count("*").alias("nodes"))
+
+
+def most_called(edges: DataFrame) -> DataFrame:
+    """(callee, n): the function that most others call, the last of equal ones."""
+    into = edges.groupBy("callee").agg(F.count("*").alias("n"))
+    return into.agg(F.max_by("callee", F.struct("n", "callee")).alias("callee"), F.max("n").alias("n"))

@@ -110,6 +110,7 @@ def andersen(
     variant_gep: DataFrame | None = None,
     calls: dict[str, DataFrame] | None = None,
     max_rounds: int = 1000,
+    call_limit: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(points-to (var, obj), copies (src, dst)) of the least solution.
 
@@ -131,7 +132,7 @@ def andersen(
         if store is not None:
             more = more.unionByName(store_copies(new, store))
         if calls is not None:
-            found = indirect_calls(new, calls["callsites"], calls["functions"])
+            found = indirect_calls(new, calls["callsites"], calls["functions"], call_limit)
             more = more.unionByName(bind(found, calls["args"], calls["params"], calls["rets"], calls["results"]))
         fresh = False
         if variant_gep is not None:

@@ -68,7 +68,9 @@ def pairs(items: DataFrame, reach: DataFrame, first: str, second: str, kill: str
     """
     a = items.filter(F.col("role") == first).select("source", F.col("ord").alias("o1"), F.col("node").alias("sink1"))
     b = items.select("source", F.col("ord").alias("o2"), F.col("node").alias("sink2"), F.col("role").alias("r2"))
-    both = a.join(b, "source").filter("o1 < o2").join(reach, (F.col("sink1") == F.col("a")) & (F.col("sink2") == F.col("b")), "left_semi")
+    # along the relation, not over all pairs of a source
+    onward = reach.select(F.col("a").alias("sink1"), F.col("b").alias("sink2")).distinct()
+    both = a.join(onward, "sink1").join(b, ["source", "sink2"]).filter("o1 < o2")
     if kill is not None:
         stop = F.min(F.when(F.col("r2") == kill, F.col("o2"))).over(Window.partitionBy("source", "o1", "sink1"))
         both = both.withColumn("stop", stop).filter("stop is null or o2 < stop")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillgraph.functions import scalars
+from rillgraph.operators import callgraph
 from rillgraph.plans import lenses
 from rillgraph.plans.lenses import REPORTS
 from rillgraph.sources import store
@@ -67,6 +68,58 @@ def matrix(bugs: DataFrame, types: list[str]) -> DataFrame:
     return one.select("api_name", "version", F.concat_ws("/", *(F.col(f"t{t}").cast("string") for t in types)).alias("cell"))
 
 
+def first_reports(bugs: DataFrame) -> DataFrame:
+    """(version, bug_id): the first bug of each version, by interface."""
+    return bugs.groupBy("version").agg(F.min_by("bug_id", F.struct("api_name", "bug_id")).alias("bug_id"))
+
+
+def average_duration(bugs: DataFrame) -> DataFrame:
+    """(version, average): the mean duration, with two digits, as text."""
+    return bugs.groupBy("version").agg(F.format_string("%.2f", F.round(F.avg("duration"), 2)).alias("average"))
+
+
+def above(bugs: DataFrame, limit: float, column: str = "duration", unit: float = 1000) -> DataFrame:
+    """(bug_id, column): bugs whose figure, in units, is above the limit: what a memory chart leaves out."""
+    return bugs.filter(F.col(column) / unit > limit).select("bug_id", column)
+
+
+def true_positives(bugs: DataFrame) -> DataFrame:
+    """(bug_id, type): bugs found positive that are the first of their kind."""
+    return bugs.filter("status = 'Positive'").join(first_corruptions(bugs).select("bug_id"), "bug_id", "left_semi").select("bug_id", "type")
+
+
+def by_interface(bugs: DataFrame, kind: Column) -> DataFrame:
+    """(api_type, apis, bugs): interfaces and bugs of each kind of interface."""
+    return bugs.groupBy(kind.alias("api_type")).agg(F.countDistinct("api_name").alias("apis"), F.count("*").alias("bugs"))
+
+
+def counted(bugs: DataFrame) -> DataFrame:
+    """(api_name, n): bugs of each interface, in order of names."""
+    return bugs.groupBy("api_name").agg(F.count("*").alias("n")).orderBy("api_name")
+
+
+def comment_ids(bugs: DataFrame) -> DataFrame:
+    """(id, api_name, n): a comment's id, and the interface and number that it is made of."""
+    ids = bugs.select(F.concat_ws(":", F.col("version").cast("string"), "api_name", F.col("bug_id").cast("string")).alias("id"))
+    return ids.select("id", F.split("id", ":")[1].alias("api_name"), F.split("id", ":")[2].cast("int").alias("n"))
+
+
+def links(bugs: DataFrame, root: str, line: Column) -> DataFrame:
+    """(bug_id, type, link, status): where each bug's line is in a source browser."""
+    link = F.concat(F.lit(root), F.col("version").cast("string"), F.lit("/"), "api_name", F.lit("#L"), line.cast("string"))
+    return bugs.select("bug_id", "type", link.alias("link"), "status")
+
+
+def type_counts(bugs: DataFrame) -> DataFrame:
+    """(type, n, apis, top): bugs and interfaces of each type, and the largest number."""
+    return bugs.groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("api_name").alias("apis"), F.max("bug_id").alias("top"))
+
+
+def memory_census(objects: DataFrame) -> DataFrame:
+    """(globals, stack, heap): how many objects (kind) of each sort there are."""
+    return objects.agg(*(F.count_if(F.col("kind") == k).alias(n) for k, n in (("global", "globals"), ("stack", "stack"), ("heap", "heap"))))
+
+
 def _documents(s, d):
     return lenses.read(s, d, "documents").select("doc_id", F.col("text").alias("line"), "n_chars")
 
@@ -90,26 +143,26 @@ QUERIES = {
     "q6_versions": lambda s, d: versions_of(lenses.reports(s, d)),
     "q7_sorted_versions": lambda s, d: lenses.reports(s, d).select(F.concat(F.lit("v4."), (F.col("version") % 100).cast("string")).alias("version")).distinct().select("version", scalars.version_key(F.col("version")).alias("k")),
     "q8_overview": lambda s, d: overview(lenses.reports(s, d), TYPES),
-    "q9_first_report": lambda s, d: lenses.reports(s, d).groupBy("version").agg(F.min_by("bug_id", F.struct("api_name", "bug_id")).alias("bug_id")),
+    "q9_first_report": lambda s, d: first_reports(lenses.reports(s, d)),
     "q11_slow": lambda s, d: slow(lenses.reports(s, d)),
-    "q12_average": lambda s, d: lenses.reports(s, d).groupBy("version").agg(F.format_string("%.2f", F.round(F.avg("duration"), 2)).alias("average")),
-    "q13_memory": lambda s, d: lenses.reports(s, d).filter("duration / 1000 > 200").select("bug_id", "duration"),
+    "q12_average": lambda s, d: average_duration(lenses.reports(s, d)),
+    "q13_memory": lambda s, d: above(lenses.reports(s, d), 200),
     "q14_first_corruptions": lambda s, d: first_corruptions(lenses.reports(s, d)),
     "q15_actual_total": lambda s, d: actual_total(lenses.reports(s, d)),
     "q16_triaged": lambda s, d: triaged(lenses.reports(s, d), lenses.reports(s, d).filter("bug_id % 10 = 0").select("bug_id", F.when(F.col("bug_id") % 20 == 0, "Remove").otherwise("Positive").alias("status"))).groupBy("status").agg(F.count("*").alias("n")),
-    "q17_true_positives": lambda s, d: lenses.reports(s, d).filter("status = 'Positive'").join(first_corruptions(lenses.reports(s, d)).select("bug_id"), "bug_id", "left_semi").select("bug_id", "type"),
+    "q17_true_positives": lambda s, d: true_positives(lenses.reports(s, d)),
     "q18_search": lambda s, d: search(lenses.reports(s, d), "7").unionByName(search(lenses.reports(s, d), "api_7")).select("bug_id", "api_name").distinct(),
     "q19_steps": lambda s, d: steps(lenses.reports(s, d)),
     "q19_positive_steps": lambda s, d: steps(lenses.reports(s, d), skip=True),
-    "q20_split": lambda s, d: lenses.reports(s, d).groupBy(F.when(F.col("bug_id") % 2 == 0, "SYSCALL").otherwise("DRIVER").alias("api_type")).agg(F.countDistinct("api_name").alias("apis"), F.count("*").alias("bugs")),
-    "q21_sorted": lambda s, d: lenses.reports(s, d).groupBy("api_name").agg(F.count("*").alias("n")).orderBy("api_name"),
-    "q22_comments": lambda s, d: lenses.reports(s, d).select(F.concat_ws(":", F.col("version").cast("string"), "api_name", F.col("bug_id").cast("string")).alias("id")).select("id", F.split("id", ":")[1].alias("api_name"), F.split("id", ":")[2].cast("int").alias("n")),
+    "q20_split": lambda s, d: by_interface(lenses.reports(s, d), F.when(F.col("bug_id") % 2 == 0, "SYSCALL").otherwise("DRIVER")),
+    "q21_sorted": lambda s, d: counted(lenses.reports(s, d)),
+    "q22_comments": lambda s, d: comment_ids(lenses.reports(s, d)),
     "q23_matrix": lambda s, d: matrix(lenses.reports(s, d), TYPES),
-    "q24_corruptions": lambda s, d: lenses.reports(s, d).select("bug_id", "type", F.concat(F.lit("https://example.org/"), F.col("version").cast("string"), F.lit("/"), "api_name", F.lit("#L"), (F.col("bug_id") % 1000).cast("string")).alias("link"), "status"),
-    "a1_counts": lambda s, d: lenses.reports(s, d).groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("api_name").alias("apis"), F.max("bug_id").alias("top")),
+    "q24_corruptions": lambda s, d: links(lenses.reports(s, d), "https://example.org/", F.col("bug_id") % 1000),
+    "a1_counts": lambda s, d: type_counts(lenses.reports(s, d)),
     "a5_half_average": _half,
-    "a6_most_waiters": lambda s, d: lenses.calls(s, d).groupBy("callee").agg(F.count("*").alias("n")).agg(F.max_by("callee", F.struct("n", "callee")).alias("callee"), F.max("n").alias("n")),
-    "a8_census": lambda s, d: lenses.read(s, d, "part").agg(F.count_if(F.col("p_size") <= 10).alias("globals"), F.count_if((F.col("p_size") > 10) & (F.col("p_size") <= 30)).alias("stack"), F.count_if(F.col("p_size") > 30).alias("heap")),
+    "a6_most_waiters": lambda s, d: callgraph.most_called(lenses.calls(s, d)),
+    "a8_census": lambda s, d: memory_census(lenses.read(s, d, "part").select(F.when(F.col("p_size") <= 10, "global").when(F.col("p_size") <= 30, "stack").otherwise("heap").alias("kind"))),
     "f_strings": lambda s, d: _documents(s, d).select(
         "doc_id", F.contains("line", F.lit("th")).alias("has"), scalars.base_name(F.col("line")).alias("head"), F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("padded"),
         scalars.digits(F.col("n_chars")).alias("digits"), F.replace("line", F.lit("th"), F.lit("->")).alias("arrows"), F.regexp_extract("line", r"([a-z]+)\.", 1).alias("dotted"),

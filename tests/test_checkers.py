@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from rillgraph.analysis import Analysis
 from rillgraph.config import AnalysisConfig
 from rillgraph.operators import checkers, contexts, guards, projections, reach, valueflow
 
@@ -205,3 +206,28 @@ def test_order_of_a_chain_is_that_of_the_chain(seed):
     chance.shuffle(place)
     rel = {(a, b): (True, False) for a in range(8) for b in range(8) if place[a] < place[b]}
     assert [place[k] for k in checkers.in_order([(k, "use") for k in range(8)], rel)] == list(range(8))
+
+
+def test_analysis_reads_its_options(spark, tmp_path):
+    frame = spark.createDataFrame
+    (tmp_path / "ignore.txt").write_text("warn\n")
+    (tmp_path / "known.txt").write_text("1\na.c f 3 x b.c g 4 y 0 5 1.5")
+    config = AnalysisConfig(func_limit=3, cxtlimit=1, cg_ignore=str(tmp_path / "ignore.txt"), import_bugs=str(tmp_path / "known.txt"), rm_deref=True, path_sens=True, double_free=True, use_after_return_lite=True, alias_rule="veto")
+    run = Analysis(spark, config)
+    edges = frame([("a", "b"), ("b", "c"), ("a", "do_warn"), ("c", "d")], "caller string, callee string")
+    assert rows(run.context(edges, frame([("a",)], "func string"))) == [("a", "a"), ("a", "b")]
+    assert {r.grp for r in run.groups(frame([(0, "x", m) for m in range(2)] + [(0, "y", m) for m in range(5, 7)], "level int, context string, member int")).collect()} == {0, 1}
+    assert rows(run.aliases(frame([(1, 2, True), (1, 2, False)], "a long, b long, alias boolean"))) == [(1, 2, False)]
+    assert rows(run.unknown(frame([("a.c", "f", 3), ("a.c", "f", 4)], "file_name string, func_name string, line long"))) == [("a.c", "f", 4)]
+    deep = frame([(1, 2, "call", 1), (2, 3, "call", 2)], "src long, dst long, kind string, cs long")
+    assert {r.node for r in run.flows(deep, frame([(1,)], "node long")).collect()} == {1, 2}
+    nodes = frame([(2, "Load", 1)], "node long, kind string, ptr_def long")
+    assert run.graph(frame([(1, 2, "direct")], "src long, dst long, kind string"), nodes).count() == 0
+    pts, _ = run.points_to(frame([(100, 1)], "obj long, ptr long"), frame([(1, 2)], "src long, dst long"))
+    assert rows(pts) == [(1, 100), (2, 100)]
+    paths, rel = straight(spark, "dealloc", "dealloc")
+    source, never = frame([(1,)], "source long"), frame([(1, 11, False)], "source long, node long, some_path boolean")
+    assert run.check(source, paths, rel).count() == 1 and run.check(source, paths, rel, never).count() == 0
+    e = frame([(1, 2, "intra", 0), (2, 5, "ret", 3), (8, 2, "intra", 0)], "src long, dst long, kind string, cs long")
+    got = run.use_after_return(e, frame([(1, "f")], "node long, func string"), frame([(1, "f"), (2, "f"), (5, "main")], "node long, func string"), frame([(8,)], "node long"))
+    assert set(got) == {"use_after_return_lite"} and rows(got["use_after_return_lite"]) == [(1, 8)]
