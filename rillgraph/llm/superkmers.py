@@ -88,6 +88,11 @@ def runs(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray,
     return first, np.diff(np.append(first, len(place))), grams[place[first]]
 
 
+def bucket_of(minimiser: int, buckets: int) -> int:
+    """The bucket of a minimiser's hash. That is the least of several, so it is spread anew: the least crowd in the first ranges."""
+    return ((minimiser * 0x9E3779B97F4A7C15 & (1 << 64) - 1) * buckets) >> 64
+
+
 def _block(group: list[tuple]) -> bytes:
     """(minimiser, doc, tie, first window, windows, words) of super-k-mers, compressed."""
     hashes = np.array([g[0] for g in group], "<u8").tobytes()
@@ -123,7 +128,7 @@ def _cut(window: int, gram: int, buckets: int):
                         settled.setdefault((doc, tie), []).append((s, s + n))
             groups: dict[int, list[tuple]] = {}
             for piece, own in first.items():
-                groups.setdefault((own[0] * buckets) >> 64, []).append((*own, piece))
+                groups.setdefault(bucket_of(own[0], buckets), []).append((*own, piece))
             out = [(k, _block(g), None, None, None) for k, g in groups.items()]
             out += [(d[0] % buckets, None, *d, np.array(x, "<i8").tobytes()) for d, x in settled.items()]
             yield _rows(out)

@@ -127,3 +127,10 @@ def test_likely_keeps_all_members(spark, monkeypatch, bits):
     got = {r.id for r in common.likely(df, df.id, spark.range(0, 20_000, 10)).collect()}
     assert got >= set(range(0, 20_000, 10)) and len(got) < 5000
     assert common.likely(df, df.id, df.limit(0)).count() == 0
+
+
+def test_buckets_are_even():
+    h = np.random.default_rng(5).integers(0, 1 << 64, 60_000, np.uint64)
+    _, _, minimisers = superkmers.runs(h, 20, 3)
+    counts = np.bincount([superkmers.bucket_of(m, 50) for m in minimisers.tolist()], minlength=50)
+    assert counts.max() < 2 * counts.mean()
