@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillgraph.operators.fixpoint import fixpoint
+from rillgraph.sources.shared import materialise
 
 
 def edges_of(direct: DataFrame, indirect: DataFrame | None = None, threads: DataFrame | None = None) -> DataFrame:
@@ -110,3 +111,28 @@ def most_called(edges: DataFrame) -> DataFrame:
     """(callee, n): the function that most others call, the last of equal ones."""
     into = edges.groupBy("callee").agg(F.count("*").alias("n"))
     return into.agg(F.max_by("callee", F.struct("n", "callee")).alias("callee"), F.max("n").alias("n"))
+
+
+def broad(edges: DataFrame, operands: DataFrame) -> DataFrame:
+    """Calls (caller, callee) with the functions that stand as operands (func, operand) in a function's code, as arguments or in what it assigns: what broad
+    slices follow too."""
+    return edges.select("caller", "callee").unionByName(operands.select(F.col("func").alias("caller"), F.col("operand").alias("callee"))).distinct()
+
+
+def saved_paths(edges: DataFrame, roots: DataFrame, max_depth: int, blacklist: DataFrame | None = None) -> DataFrame:
+    """(root, func, depth, path, why) of paths() that a walk reports: at functions that call none (leaf), that call a blacklisted one (filtered), that call one
+    reached already (visited), and at the greatest depth (depth)."""
+    calls = edges.select("caller", "callee").distinct()
+    kept = calls if blacklist is None else calls.join(blacklist.select(F.col("func").alias("callee")), "callee", "left_anti").select("caller", "callee")
+    found = materialise(paths(kept, roots, max_depth), "paths")
+    why = lambda df, name: df.select(*found.columns).distinct().withColumn("why", F.lit(name))
+    # in the tree, a function's path is that of its caller and itself; other calls end at what is reached already
+    tree = found.filter("depth > 0").select(F.col("root").alias("__r"), F.element_at("path", -2).alias("__u"), F.col("func").alias("__v"))
+    ahead = found.filter(F.col("depth") < max_depth).join(kept, F.col("func") == F.col("caller"))
+    again = ahead.join(tree, (F.col("root") == F.col("__r")) & (F.col("func") == F.col("__u")) & (F.col("callee") == F.col("__v")), "left_anti")
+    out = why(leaves(found, calls), "leaf").unionByName(why(again, "visited"))
+    out = out.unionByName(why(found.filter(F.col("depth") == max_depth).join(calls, F.col("func") == F.col("caller"), "left_semi"), "depth"))
+    if blacklist is not None:
+        into = calls.join(blacklist.select(F.col("func").alias("callee")), "callee", "left_semi")
+        out = out.unionByName(why(found.join(into, F.col("func") == F.col("caller"), "left_semi"), "filtered"))
+    return out

@@ -202,3 +202,18 @@ def external_effects(calls: DataFrame, effects: DataFrame) -> dict[str, DataFram
         "load_store": both.filter("effect = 'load_store'").select(F.col("n1").alias("src"), F.col("n0").alias("dst")),
         "addr": result.filter("effect = 'alloc'").select(F.col("cs").alias("obj"), F.col("nr").alias("ptr")),
     }
+
+
+def matched_threads(forks: DataFrame, joins: DataFrame, pts: DataFrame) -> DataFrame:
+    """(fork, join): thread starts (cs, var) and waits (cs, var) whose thread variables may be the same, by what they point to (var, obj)."""
+    a = forks.select(F.col("cs").alias("fork"), "var").join(pts, "var").select("fork", base(F.col("obj")).alias("obj")).distinct()
+    b = joins.select(F.col("cs").alias("join"), "var").join(pts, "var").select("join", base(F.col("obj")).alias("obj")).distinct()
+    return a.join(b, "obj").select("fork", "join").distinct()
+
+
+def byte_geps(geps: DataFrame, layouts: DataFrame) -> DataFrame:
+    """(src, dst, offset) of field accesses (src, dst, type, ix) in bytes, by the types' layouts (type, ix, at): locations instead of field numbers.
+
+    propagate() takes them as they are; a field of a nested struct is one access after another, so offsets add up to its place in the whole.
+    """
+    return geps.join(layouts, ["type", "ix"]).select("src", "dst", F.col("at").cast("long").alias("offset"))

@@ -300,3 +300,44 @@ def _back(new: DataFrame, against: DataFrame, ahead: DataFrame, ends: DataFrame,
     fits = (F.col("kind") != "ret") | reach.matches(F.col("ctx"), F.col("cs"))
     then = F.when(F.col("kind") == "call", reach.push(F.col("ctx"), F.col("cs"), limit)).when(F.col("kind") == "ret", reach.pop(F.col("ctx"))).otherwise(F.col("ctx"))
     return hop.filter(fits).select("source", "store", F.col("__d").alias("node"), then.alias("ctx"), (F.col("depth") + 1).alias("depth"))
+
+
+MEMORY = ("ActualIn", "FormalOut", "ActualOut", "FormalIn")
+
+
+def without_memory_nodes(edges: DataFrame, nodes: DataFrame, kinds: tuple[str, ...] = MEMORY) -> DataFrame:
+    """GRAPH edges without the nodes (node, kind) that only hand memory on: an edge into one and an edge out of it that carry the same object become one.
+
+    A node stays if edges between functions lead both into and out of it, as one edge cannot be of two calls.
+    """
+    inter = F.col("kind").isin("call", "ret")
+    some = nodes.filter(F.col("kind").isin(*kinds)).select("node")
+    into = edges.groupBy(F.col("dst").alias("node")).agg(F.bool_or(inter).alias("a"))
+    out = edges.groupBy(F.col("src").alias("node")).agg(F.bool_or(inter).alias("b"))
+    gone = materialise(some.join(into, "node").join(out, "node").filter("not (a and b)").select("node"), "handed")
+    e = edges.select(*GRAPH).withColumn("from_gone", F.lit(False))
+    ends = e.join(gone, F.col("src") == F.col("node"), "left").withColumn("from_gone", F.col("node").isNotNull()).drop("node")
+    ends = ends.join(gone, F.col("dst") == F.col("node"), "left").withColumn("to_gone", F.col("node").isNotNull()).drop("node")
+    ends = materialise(ends, "ends")
+    hop = ends.filter("from_gone").select(F.col("src").alias("__s"), F.col("dst").alias("__d"), F.col("kind").alias("__k"), F.col("cs").alias("__c"), F.col("obj").alias("__o"), F.col("to_gone").alias("__t"))
+    kind = F.when(F.col("kind") == "intra", F.col("__k")).otherwise(F.col("kind"))
+    both = lambda df: df.join(hop, (F.col("dst") == F.col("__s")) & F.col("obj").eqNullSafe(F.col("__o"))).filter("kind = 'intra' or __k = 'intra'")
+    step = lambda new, _: both(new.filter("to_gone")).select("src", F.col("__d").alias("dst"), kind.alias("kind"), F.coalesce("cs", "__c").alias("cs"), "obj", F.col("__t").alias("to_gone"))
+    start = ends.filter("not from_gone").select(*GRAPH, "to_gone")
+    return fixpoint(start, step, label="handed").filter("not to_gone").select(*GRAPH)
+
+
+def statistics(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """(edges, direct, indirect, inter, nodes, top_in, top_out, mean_out, cycles, largest_cycle): a graph's figures, with its components (node, rep)."""
+    e = edges.agg(F.count("*").alias("edges"), F.count_if(F.col("obj").isNull()).alias("direct"), F.count_if(F.col("obj").isNotNull()).alias("indirect"), F.count_if(F.col("kind").isin("call", "ret")).alias("inter"))
+    degree = lambda c, n: edges.groupBy(c).agg(F.count("*").alias("n")).agg(F.max("n").alias(f"top_{n}"), F.round(F.avg("n"), 6).alias(f"mean_{n}"))
+    size = components.groupBy("rep").agg(F.count("*").alias("n"))
+    c = size.agg(F.sum("n").alias("nodes"), F.count_if(F.col("n") > 1).alias("cycles"), F.max("n").alias("largest_cycle"))
+    # one row each
+    return e.join(degree("dst", "in").drop("mean_in")).join(degree("src", "out")).join(c).select("edges", "direct", "indirect", "inter", "nodes", "top_in", "top_out", "mean_out", "cycles", "largest_cycle")
+
+
+def first_paths(found: DataFrame, paths: DataFrame) -> DataFrame:
+    """(local, pointer, path) of use_after_return(): for each pointer the first path (local, pointer, path) that leads to it, by length, then by nodes."""
+    both = found.join(paths, ["local", "pointer"])
+    return both.groupBy("pointer").agg(F.min_by(F.struct("local", "path"), F.struct(F.size("path"), F.col("path"), F.col("local"))).alias("x")).select("x.local", "pointer", "x.path")

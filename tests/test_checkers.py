@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rillgraph.analysis import Analysis
 from rillgraph.config import AnalysisConfig
-from rillgraph.operators import checkers, contexts, guards, projections, reach, valueflow
+from rillgraph.operators import callgraph, checkers, contexts, guards, pointsto, projections, reach, valueflow
 
 STEPS = "source long, path long, sink long, role string, field_ctx string, steps array<struct<node:long,func:string,via:string>>"
 
@@ -231,3 +231,39 @@ def test_analysis_reads_its_options(spark, tmp_path):
     e = frame([(1, 2, "intra", 0), (2, 5, "ret", 3), (8, 2, "intra", 0)], "src long, dst long, kind string, cs long")
     got = run.use_after_return(e, frame([(1, "f")], "node long, func string"), frame([(1, "f"), (2, "f"), (5, "main")], "node long, func string"), frame([(8,)], "node long"))
     assert set(got) == {"use_after_return_lite"} and rows(got["use_after_return_lite"]) == [(1, 8)]
+
+
+def test_broad_and_saved_paths(spark):
+    frame = spark.createDataFrame
+    calls = frame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("b", "bad"), ("d", "e"), ("e", "a")], "caller string, callee string")
+    wide = callgraph.broad(calls, frame([("c", "handler"), ("a", "b")], "func string, operand string"))
+    roots, black = frame([("a",)], "func string"), frame([("bad",)], "func string")
+    assert "handler" in {r.func for r in callgraph.slice_forward(wide, roots, 3).collect()} and wide.count() == 8
+    got = {(r.func, r.why) for r in callgraph.saved_paths(calls, roots, 2, black).collect()}
+    # b calls c, which a calls already, and a blacklisted one; d is as deep as allowed and calls on
+    assert got == {("b", "visited"), ("b", "filtered"), ("d", "depth")}
+    deep = {(r.func, r.why) for r in callgraph.saved_paths(calls, roots, 9).collect()}
+    assert deep == {("bad", "leaf"), ("b", "visited"), ("e", "visited")}
+
+
+def test_threads_and_byte_offsets(spark):
+    frame = spark.createDataFrame
+    pts = frame([(1, 100), (2, 100), (3, 101)], "var long, obj long")
+    assert rows(pointsto.matched_threads(frame([(7, 1), (8, 3)], "cs long, var long"), frame([(9, 2)], "cs long, var long"), pts)) == [(7, 9)]
+    geps = pointsto.byte_geps(frame([(1, 2, "S", 1), (2, 3, "T", 2)], "src long, dst long, type string, ix int"), frame([("S", 1, 8), ("T", 2, 4)], "type string, ix int, at int"))
+    found, _ = pointsto.andersen(frame([(100, 1)], "obj long, ptr long"), frame([], "src long, dst long"), gep=geps)
+    assert {(r.var, r.obj >> 48) for r in found.collect()} == {(1, 0), (2, 8), (3, 12)}
+
+
+def test_memory_nodes_go(spark):
+    g = "src long, dst long, kind string, cs long, obj long"
+    # 1 -> actual in 2 -> (call) 3 formal in -> 4; 5 -> formal out 6 -> (ret) 7 actual out -> 8; object 101 isn't handed on
+    e = spark.createDataFrame([(1, 2, "intra", None, 100), (2, 3, "call", 7, 100), (3, 4, "intra", None, 100), (3, 9, "intra", None, 101), (5, 6, "intra", None, 100), (6, 7, "ret", 7, 100), (7, 8, "intra", None, 100), (1, 4, "intra", None, None)], g)
+    nodes = spark.createDataFrame([(2, "ActualIn"), (3, "FormalIn"), (6, "FormalOut"), (7, "ActualOut"), (1, "Store")], "node long, kind string")
+    assert rows(valueflow.without_memory_nodes(e, nodes)) == sorted([(1, 4, "call", 7, 100), (5, 8, "ret", 7, 100), (1, 4, "intra", None, None)], key=str)
+    kept = valueflow.without_memory_nodes(e.unionByName(spark.createDataFrame([(3, 11, "call", 9, 100)], g)), nodes)
+    assert (1, 3, "call", 7, 100) in rows(kept) and (3, 11, "call", 9, 100) in rows(kept)
+    row = valueflow.statistics(e, reach.components(e)).first()
+    assert (row.edges, row.direct, row.inter, row.nodes, row.top_out, row.cycles, row.largest_cycle) == (8, 1, 2, 9, 2, 0, 1)
+    paths = spark.createDataFrame([(1, 8, [1, 3, 8]), (2, 8, [2, 8]), (1, 9, [1, 9])], "local long, pointer long, path array<long>")
+    assert rows(valueflow.first_paths(paths.select("local", "pointer"), paths)) == sorted([(2, 8, [2, 8]), (1, 9, [1, 9])], key=str)
