@@ -17,7 +17,7 @@ import json
 import re
 from collections import defaultdict
 from collections.abc import Callable
-from functools import cache
+from functools import cache, cached_property
 from itertools import chain, compress, count, islice
 
 import numpy as np
@@ -30,6 +30,8 @@ REMEMBERED = 200_000
 KEPT = 60_000
 #: Pieces of words that the library gets as one text.
 TOGETHER = 1000
+#: Characters of text that a task encodes at once, about.
+AT_ONCE = 1 << 20
 
 # How the vocabulary word_bpe_49k normalises and splits texts.
 FORM = (
@@ -78,6 +80,25 @@ def gathered(ids: np.ndarray, first: np.ndarray, many: np.ndarray, at: np.ndarra
     return ids[np.repeat(first[at] - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
+class Grown:
+    """An array that grows at its end, with room for as much again."""
+
+    def __init__(self, given: np.ndarray) -> None:
+        self.held, self.n = given, len(given)
+
+    def add(self, more: np.ndarray) -> None:
+        """Put more behind the rest."""
+        end = self.n + len(more)
+        if end > len(self.held):
+            self.held = np.concatenate([self.held[: self.n], np.zeros(max(end, 2 * self.n) - self.n, self.held.dtype)])
+        self.held[self.n : end] = more
+        self.n = end
+
+    def all(self) -> np.ndarray:
+        """What is there, not a copy."""
+        return self.held[: self.n]
+
+
 class Memo:
     """The ids of keys met before; keys not met are learned together."""
 
@@ -86,7 +107,7 @@ class Memo:
         self.learn = learn
         self.known: dict = defaultdict(count().__next__)
         self.held: str | None = None
-        self.ids, self.first, self.many, self.met = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.first, self.many, self.met = (Grown(np.zeros(0, t)) for t in (np.uint32, np.int64, np.int64, np.int64))
 
     def of(self, groups: list[list]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all groups of keys one after another, and how many each group has."""
@@ -99,13 +120,15 @@ class Memo:
         counts = np.fromiter(map(len, groups), np.int64, len(groups))
         at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(groups)), np.int64, int(counts.sum()))
         if len(self.known) > before:
-            ids, lens = self.learn(list(islice(self.known, before, None)))
-            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(lens) - lens])
-            self.ids, self.many = np.concatenate([self.ids, ids]), np.concatenate([self.many, lens])
-            self.met = np.concatenate([self.met, np.zeros_like(lens)])
-        self.met += np.bincount(at, minlength=len(self.met))
-        ends = np.append(0, np.cumsum(self.many[at]))
-        return gathered(self.ids, self.first, self.many, at), np.diff(ends[np.append(0, np.cumsum(counts))])
+            ids, lens = self.learn(list(islice(reversed(self.known), len(self.known) - before))[::-1])
+            self.first.add(self.ids.n + np.cumsum(lens) - lens)
+            self.ids.add(ids)
+            self.many.add(lens)
+            self.met.add(np.zeros_like(lens))
+        self.met.all()[:] += np.bincount(at, minlength=self.met.n)
+        many = self.many.all()
+        ends = np.append(0, np.cumsum(many[at]))
+        return gathered(self.ids.all(), self.first.all(), many, at), np.diff(ends[np.append(0, np.cumsum(counts))])
 
     def rest(self) -> None:
         """Keep the KEPT keys met most often, as one text until they are needed."""
@@ -118,13 +141,14 @@ class Memo:
 
     def _shrink(self, n: int) -> list:
         """The n keys met most often, in their order; all else about the others goes."""
-        keep = np.sort(np.argpartition(-self.met, n)[:n]) if n < len(self.met) else np.arange(len(self.met))
-        chosen = np.zeros(len(self.met), bool)
+        met, many = self.met.all(), self.many.all()
+        keep = np.sort(np.argpartition(-met, n)[:n]) if n < len(met) else np.arange(len(met))
+        chosen = np.zeros(len(met), bool)
         chosen[keep] = True
         keys = list(compress(self.known, chosen.tolist()))
-        self.ids = gathered(self.ids, self.first, self.many, keep)
-        self.many, self.met = self.many[keep], self.met[keep] // 2  # what was met long ago weighs less
-        self.first = np.cumsum(self.many) - self.many
+        self.ids = Grown(gathered(self.ids.all(), self.first.all(), many, keep))
+        self.many, self.met = Grown(many[keep]), Grown(met[keep] // 2)  # what was met long ago weighs less
+        self.first = Grown(np.cumsum(many[keep]) - many[keep])
         return keys
 
 
@@ -133,16 +157,26 @@ class Encoder:
 
     def __init__(self, path: str, split: bool = True) -> None:
         """split: the vocabulary's tokens never cross or hold white space, and case is folded."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.path, self.split = path, split
+        self.size = len({*spec["model"]["vocab"], *(t["content"] for t in spec.get("added_tokens") or ())})
+        self.merges = self._merges(spec) if split else None
+        self.words, self.pieces = Memo(self._learn), Memo(self._merged)
+        del spec
+        trim()
+
+    @cached_property
+    def tokenizer(self):
+        """The whole of the library, loaded when it is needed."""
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.split = Tokenizer.from_file(path), split
-        self.size = self.tokenizer.get_vocab_size()
-        self.merges = self._merges(Tokenizer) if split else None
-        self.words, self.pieces = Memo(self._learn), Memo(self._merged)
+        return Tokenizer.from_file(self.path)
 
-    def _merges(self, library: type):
+    def _merges(self, spec: dict):
         """The vocabulary without normalising, splitting at spaces only; None if it is of another form."""
-        spec = json.loads(self.tokenizer.to_str())
+        from tokenizers import Tokenizer
+
         try:
             steps, cuts = spec["normalizer"]["normalizers"], spec["pre_tokenizer"]["pretokenizers"]
             form = [x["type"] for x in steps], cuts[0]["pattern"]["Regex"]
@@ -150,12 +184,12 @@ class Encoder:
                 return None
         except (KeyError, TypeError, IndexError):
             return None
-        spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}}
+        spec = spec | {"normalizer": None, "added_tokens": [], "post_processor": None, "pre_tokenizer": {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}}
         ending = spec["model"]["end_of_word_suffix"]
         self.last = np.zeros(self.size, bool)
         for token, k in spec["model"]["vocab"].items():
             self.last[k] = token.endswith(ending)
-        return library.from_str(json.dumps(spec))
+        return Tokenizer.from_str(json.dumps(spec))
 
     def rest(self) -> None:
         """At a task's end: keep little."""

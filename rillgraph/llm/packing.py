@@ -89,7 +89,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, at = encode.encoder(vocabulary), TaskContext.get().partitionId() << 40
-        for held in rows(batches):
+        for held in rows(batches, encode.AT_ONCE):
             ids, lens = encode.ended(*encoder.encode([t for _, t in held]), end_id)
             data = memoryview(ids.astype("<u4").tobytes())
             many = -(-lens // capacity)

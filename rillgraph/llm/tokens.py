@@ -142,7 +142,7 @@ def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
         n = 0
         with where.open_output_stream(path) as stream:
             writer = Writer(stream, width(encoder.size))
-            for held in rows(batches):
+            for held in rows(batches, encode.AT_ONCE):
                 ids, lens = encode.ended(*encoder.encode([t for _, t in held]), end_id)
                 writer.add([d for d, _ in held], ids, lens)
                 n += len(held)

@@ -28,7 +28,7 @@ def test_latin_words_and_the_memos():
         for k in range(0, 400, 7):  # the memos shrink again and again
             ids, lens = made.encode(given[k : k + 7])
             assert lens.tolist() == [len(x) for x in want[k : k + 7]] and ids.tolist() == [i for x in want[k : k + 7] for i in x]
-            assert len(made.words.known) == len(made.words.many) == len(made.words.first)
+            assert len(made.words.known) == made.words.many.n == made.words.first.n
             if k % 3 == 0:
                 made.rest()
                 assert made.words.held is not None
