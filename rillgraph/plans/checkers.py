@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rillgraph.operators import callgraph, fixpoint, typestate
+from rillgraph.operators import callgraph, pointsto, typestate
 from rillgraph.plans import lenses
 from rillgraph.plans.lenses import CALLS, COPIES, ITEMS, LOCKS
 
@@ -45,10 +45,9 @@ QUERIES = {
 
 
 def _points_to(spark, sf_dir):
-    """(var, obj) from addresses along copies: the copies are closed by doubling first, in the logarithm of the longest chain's rounds."""
-    ahead = fixpoint.closure(lenses.copies(spark, sf_dir))
+    """(var, obj) from addresses along copies: what is new moves on, no variable's copies are closed that nothing points from."""
     seed = lenses.addresses(spark, sf_dir).select(F.col("ptr").alias("var"), "obj")
-    return seed.unionByName(seed.join(ahead, seed["var"] == ahead["src"]).select(F.col("dst").alias("var"), "obj")).distinct()
+    return pointsto.propagate(seed, lenses.copies(spark, sf_dir))
 
 
 _SLICE = f"""
