@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillgraph.llm.common import likely, small_batches
+from rillgraph.llm.common import likely, settle, small_batches
 
 SPANS = "doc long, tie long, spans binary"
 #: Stands for a null id, which comes before all others.
@@ -26,7 +26,8 @@ def _unique(docs: DataFrame, id_col: str) -> bool:
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, tie, text) of each row, which go to Python in small batches."""
+    """(doc, tie, text) of each row, which go to Python in small batches. Shuffle files of what has ended before go first."""
+    settle(docs.sparkSession)
     small_batches(docs.sparkSession)
     return docs.select(*_keys(docs, id_col, text_col, _unique(docs, id_col)))
 
