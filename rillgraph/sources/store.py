@@ -103,13 +103,15 @@ def browsed(reports: DataFrame, skip: bool = False) -> DataFrame:
 
     Behind the last report comes the second, before the first the last but one, as in the browser; a single one is its own neighbour. With skip, reports
     without bugs are passed over.
+
+    Frames start at the version's first row, in one order or the other, so each is one running value: a frame that ends at the last row is read anew for every row.
     """
     order = Window.partitionBy("version").orderBy("api_name")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     wanted = F.when(F.col("bugs") > 0, F.col("api_name")) if skip else F.col("api_name")
-    ahead = F.first(wanted, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    behind = F.last(wanted, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    back = Window.partitionBy("version").orderBy(F.desc("api_name")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    back = Window.partitionBy("version").orderBy(F.desc("api_name"))
+    behind, ahead = (F.last(wanted, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) for w in (order, back))
+    back = back.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     second, last_but_one = F.coalesce(F.nth_value("api_name", 2).over(whole), "api_name"), F.coalesce(F.nth_value("api_name", 2).over(back), "api_name")
     return reports.select("version", "api_name", F.coalesce(behind, last_but_one).alias("previous"), F.coalesce(ahead, second).alias("following"))
 

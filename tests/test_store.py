@@ -59,6 +59,19 @@ def test_browsing(spark):
     assert rows(store.browsed(reports, skip=True)) == [("v", "a", "c", "c"), ("v", "b", "a", "c"), ("v", "c", "a", "b"), ("v", "d", "c", "b"), ("w", "z", "z", "z")]
 
 
+def test_browsing_reads_each_row_once(spark):
+    """No frame starts behind a row and ends at the version's last one, which takes the square of the version's rows; neighbours as by plain Python."""
+    bugs = {f"api_{k}": int(k % 7 == 3) for k in range(3000)}
+    reports = spark.createDataFrame([("v", x, n) for x, n in bugs.items()], "version string, api_name string, bugs int").repartition(5)
+    names = sorted(bugs)
+    for skip in (False, True):
+        found = store.browsed(reports, skip)
+        assert "RowFrame, 1, unboundedfollowing" not in found._jdf.queryExecution().toString()
+        wanted = [x for x in names if bugs[x] or not skip]
+        want = [("v", x, max((y for y in wanted if y < x), default=names[-2]), min((y for y in wanted if y > x), default=names[1])) for x in names]
+        assert rows(found) == want
+
+
 def test_phases(spark):
     p = store.Phases()
     for name in ("read", "check", "read"):
