@@ -20,6 +20,7 @@ def _stage(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, DataF
 
     def step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         common.sweep(getattr(_left, "made", []))
+        common.settle(spark)  # and the shuffle files of stages before
         start = list(common.made)
         out = f(docs)
         _left.made = [x for x in common.made if x not in start]

@@ -1,9 +1,11 @@
 """Near copies: pairs of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, all of them and no others.
 
-Shingles are counted once however often they stand in a text, as 64-bit hashes. Put in one order for all texts, two sets of
+Shingles are counted once however often they stand in a text, as 64-bit hashes. First come SimHash and its vantage-point trees, as in
+simhash.py: fingerprints of the sets that are equal or within the radius make pairs, of which those are links whose whole sets are alike. What is alike may
+differ in more bits than any radius holds, so an exact join finds the rest among sets that no link connects yet. Put in one order for all texts, two sets of
 similarity 0.8 or more have one of the first n // 5 + 1 of their n shingles in common, so those are each text's keys and the candidates are
 the pairs that share a key. The order may be any; here what a sample of the documents shows to be common comes last, so that few documents
-meet by it. A candidate pair in which too many of the sets' buckets differ goes; each other one is decided by its whole sets. Of a key's documents the first few meet the others, round by round,
+meet by it. Keys that the same few documents share, as many as such documents have in common, count once. A candidate pair in which too many of the sets' buckets differ goes; each other one is decided by its whole sets. Of a key's documents the first few meet the others, round by round,
 and those that links connect already need not meet any more, so a large group of copies costs about a pair for each.
 """
 
@@ -28,6 +30,8 @@ SHINGLE = 5
 SAMPLE, COMMON, TOLD = 1 << 13, 4, 1 << 18
 #: A round's leaders of each key are so many times those of all rounds before, about.
 GROWTH = 4
+#: Keys of at most so many documents are compared between shards.
+FEW = 64
 
 def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
     """The set of the text's shingles as sorted hashes."""
@@ -102,7 +106,7 @@ def _common(given: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(given: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """A row (id, fp, n, keys, odd) for each row (id, text): the digest of its set, the set's size, its keys, its buckets' bits."""
+    """A row (id, fp, n, keys, odd, sim) for each row (id, text): the digest of its set, the set's size, its keys, its buckets' bits, its SimHash."""
     told = given.sparkSession.sparkContext.broadcast(_common(given, shingle))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,13 +115,24 @@ def fingerprints(given: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fp = [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]
             first = [keys(h, *told.value).tobytes() for h in sets]
             columns = [pa.array([d for d, _ in held], pa.int64()), pa.array(fp, pa.binary()), pa.array(list(map(len, sets)), pa.int32()), pa.array(first, pa.binary()), pa.array([odd(h) for h in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "n", "keys", "odd"])
+            columns.append(pa.array(np.array([simhash.fingerprint(h) for h in sets], np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "n", "keys", "odd", "sim"])
 
-    return given.mapInArrow(made, "id long, fp binary, n int, keys binary, odd binary")
+    return given.mapInArrow(made, "id long, fp binary, n int, keys binary, odd binary, sim long")
+
+
+def _fingerprinted(distinct: DataFrame) -> DataFrame:
+    """Pairs (u, v) of tags by SimHash: sets of one fingerprint with the least of them, and the least ones of fingerprints that the vantage-point trees link."""
+    least = table(distinct.groupBy("sim").agg(F.min("tag").alias("least")), "sims")
+    same = distinct.select("tag", "sim").join(least.withColumnRenamed("sim", "s"), F.col("sim") == F.col("s")).filter("tag <> least").select(F.col("least").alias("u"), F.col("tag").alias("v"))
+    linked = simhash.links(least.select(F.col("sim").alias("fp"))).toDF("a", "b")
+    linked = linked.join(least.toDF("s", "u"), F.col("a") == F.col("s")).select("b", "u").join(least.toDF("s", "v"), F.col("b") == F.col("s")).select("u", "v")
+    return same.unionByName(linked)
 
 
 def _meeting(distinct: DataFrame) -> DataFrame:
-    """Rows (shard, bucket, tag, n): the documents (tag, n, keys) of each key that several have; of keys with the same documents, one in each shard.
+    """Rows (shard, bucket, tag, n): the documents (tag, n, keys) of each key that several have; of keys with the same documents one, or, if they are more than FEW,
+    one in each shard.
 
     To a shard go 32 bits of each key and the size's class, n; keys that clash there are one bucket with more candidates.
     """
@@ -151,13 +166,24 @@ def _meeting(distinct: DataFrame) -> DataFrame:
             if (held := xxhash.xxh3_128_digest(tag[a:b].tobytes())) not in known:
                 known.add(held)
                 spans.append((a, b))
-        places = np.concatenate([np.zeros(0, np.int64), *(np.arange(a, b) for a, b in spans)])
-        bucket = np.repeat(np.arange(len(spans)), [b - a for a, b in spans])
-        shard = np.full(len(places), group["shard"][0].as_py())
-        return pa.table([pa.array(shard, pa.int32()), pa.array(bucket, pa.int32()), pa.array(tag[places], pa.int64()), pa.array(n[places], pa.int32())], names=["shard", "bucket", "tag", "n"])
+        # few documents are known by their digest in all shards, many by their shard and place
+        held = [tag[a:b].tobytes() for a, b in spans]
+        name = [xxhash.xxh3_128_digest(x) if len(x) <= 8 * FEW else b"%d.%d" % (group["shard"][0].as_py(), k) for k, x in enumerate(held)]
+        return pa.table([pa.array(name, pa.binary()), pa.array(held, pa.binary()), pa.array([n[a:b].tobytes() for a, b in spans], pa.binary())], names=["name", "tags", "sizes"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1 << 12):
+                name, tags, sizes = (c.to_pylist() for c in batch.slice(k, 1 << 12).columns)
+                many = np.fromiter(map(len, sizes), np.int64, len(sizes))
+                h = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in name), np.uint64, len(name))
+                shard = np.repeat((h % np.uint64(shards)).astype(np.int32), many)
+                tag, n = np.frombuffer(b"".join(tags), "<i8"), np.frombuffer(b"".join(sizes), np.uint8).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.repeat(h.view(np.int64), many)), pa.array(tag), pa.array(n)], names=["shard", "bucket", "tag", "n"])
 
     sent = distinct.select("tag", "n", "keys").mapInArrow(dealt, "shard int, keys binary, tags binary, sizes binary")
-    return sent.groupBy("shard").applyInArrow(met, "shard int, bucket int, tag long, n int")
+    buckets = sent.groupBy("shard").applyInArrow(met, "name binary, tags binary, sizes binary").dropDuplicates(["name"])
+    return buckets.mapInArrow(spread, "shard int, bucket long, tag long, n int")
 
 
 def _candidates(meeting: DataFrame, low: int, high: int) -> DataFrame:
@@ -169,7 +195,7 @@ def _candidates(meeting: DataFrame, low: int, high: int) -> DataFrame:
         order = np.lexsort((tag, bucket))
         bucket, tag, n, root, size = bucket[order], tag[order], n[order].astype(np.int64), root[order], size[order].astype(np.int64)
         bits = group["odd"].combine_chunks().take(pa.array(order)).to_pylist()
-        edges = np.append(np.nonzero(np.diff(bucket, prepend=-1))[0], len(bucket))
+        edges = np.append(np.nonzero(np.diff(bucket, prepend=~bucket[:1]))[0], len(bucket))
         u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             for k in range(a + low, min(a + high, b - 1)):
@@ -199,11 +225,14 @@ def links(given: DataFrame, distinct: DataFrame, shingle: int = SHINGLE) -> Data
         return pa.array([alike(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")) for x, y in zip(a, b, strict=True)], pa.bool_())
 
     ends = lambda pairs: pairs.select(F.explode(F.array("u", "v")).alias("t")).distinct()
-    found, rooted, low, high = [], meeting.withColumn("root", F.col("tag")), 0, 1
+    found, rooted, low, high = [], None, 0, 0
     while True:
         start = list(common.made)
-        marked = rooted.join(distinct.select(F.col("tag").alias("t"), F.col("n").alias("size"), "odd"), F.col("tag") == F.col("t")).drop("t")
-        pairs = table(_candidates(marked, low, high), "pairs")
+        if rooted is None:
+            marked, pairs = None, table(_fingerprinted(distinct), "pairs")
+        else:
+            marked = rooted.join(distinct.select(F.col("tag").alias("t"), F.col("n").alias("size"), "odd"), F.col("tag") == F.col("t")).drop("t")
+            pairs = table(_candidates(marked, low, high), "pairs")
         # only the sets that pairs need are shuffled
         wanted = table(distinct.select("tag", "node").join(ends(pairs), F.col("tag") == F.col("t"), "left_semi").select("node").distinct(), "wanted")
         texts = likely(given, F.col("id"), wanted).join(wanted, F.col("id") == F.col("node"), "left_semi")
@@ -214,7 +243,7 @@ def links(given: DataFrame, distinct: DataFrame, shingle: int = SHINGLE) -> Data
         del marked, pairs, both, wanted, texts, sets
         common.sweep([x for x in common.made[:-1] if x not in start])  # all that led to it
         common.settle(given.sparkSession)
-        low, high = high, high + GROWTH * high
+        low, high = high, high + GROWTH * high or 1
         linked_ = reduce(DataFrame.unionByName, found)
         roots = components(linked_)
         # a bucket goes on while it has places that have not led, and several roots
@@ -238,7 +267,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id_ = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID))
     given = docs.select(id_.alias("id"), F.col(f"`{text_col}`").alias("text"))
     made = table(fingerprints(given, shingle), "fingerprints")
-    distinct = made.groupBy("fp").agg(F.min("id").alias("node"), F.max("id").alias("last"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("odd").alias("odd"))
+    distinct = made.groupBy("fp").agg(F.min("id").alias("node"), F.max("id").alias("last"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("odd").alias("odd"), F.first("sim").alias("sim"))
     distinct = table(distinct.withColumn("tag", F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("long")), "distinct")
     roots = components(links(given, distinct, shingle))
     rooted = distinct.join(roots.toDF("t", "root"), F.col("tag") == F.col("t"), "left").select("node", F.coalesce("root", "tag").alias("root"))

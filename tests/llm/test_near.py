@@ -116,3 +116,41 @@ def test_buckets_never_rule_out_what_is_alike():
     x, y = (np.unique(chance.integers(0, 1 << 63, 400, np.uint64)) for _ in range(2))
     assert near.may_be(len(x), near.odd(x), np.array([len(y), len(x)]), [near.odd(y), near.odd(x)]).tolist() == [False, True]
     assert near.odd(x[:0]) == bytes(8)
+
+
+def test_fingerprints_come_first(spark, monkeypatch):
+    """Sets whose SimHash is equal or within the radius are connected by the first pairs, links among them need no key, and the exact join finds the others."""
+    chance = random.Random(6)
+    start = words(chance, 600)
+    given = [(k, " ".join(start[: 600 - k % 3] + words(chance, k % 2))) for k in range(12)] + [(20 + k, " ".join(words(chance, 50))) for k in range(30)]
+    given += [(60, " ".join(start[:590] + words(chance, 70)))]  # alike, but many bits away
+    made = near.fingerprints(frame(spark, given).select(near.F.col("doc_id").alias("id"), "text")).toPandas()
+    sims = dict(zip(made["id"], made["sim"].to_numpy().view(np.uint64), strict=True))
+    distinct = spark.createDataFrame([(int(i), int(np.uint64(x).view(np.int64))) for i, x in sims.items()], "tag long, sim long")
+    best = {i: i for i in sims}
+
+    def root(i):
+        return i if best[i] == i else root(best[i])
+
+    for u, v in near._fingerprinted(distinct).collect():
+        assert np.bitwise_count(sims[u] ^ sims[v]) <= near.simhash.RADIUS
+        best[max(root(u), root(v))] = min(root(u), root(v))
+    close = [(i, j) for i in sims for j in sims if i < j and np.bitwise_count(sims[i] ^ sims[j]) <= near.simhash.RADIUS]
+    assert close and all(root(i) == root(j) for i, j in close) and len({root(i) for i in sims}) > 30
+    seen = []
+    monkeypatch.setattr(near.simhash, "links", lambda d, links=near.simhash.links: seen.append(d.columns) or links(d))
+    assert stay(spark, given) == one_of_each(given) and seen == [["fp"]]
+
+
+def test_keys_of_the_same_documents_count_once(spark):
+    """A pair that shares 100 keys is one bucket, whatever shards the keys fall in; a third document with some of them makes one more."""
+    key = lambda a, b: np.arange(a, b, dtype="<u8").tobytes()
+    held = [(1, 500, key(0, 100)), (2, 500, key(0, 100)), (3, 500, key(80, 180)), *((k, 500, key(200, 203)) for k in range(10, 10 + 2 * near.FEW))]
+    met = near._meeting(spark.createDataFrame(held, "tag long, n int, keys binary")).collect()
+    small = [r for r in met if r.tag < 10]
+    assert sorted(r.tag for r in small) == [1, 1, 2, 2, 3] and len({(r.shard, r.bucket) for r in small}) == 2
+    large = {}
+    for r in met:
+        if r.tag >= 10:
+            large.setdefault((r.shard, r.bucket), []).append(r.tag)
+    assert 1 <= len(large) <= 3 and all(sorted(x) == list(range(10, 10 + 2 * near.FEW)) for x in large.values())
