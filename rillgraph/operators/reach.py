@@ -34,7 +34,7 @@ def forward(edges: DataFrame, sources: DataFrame, sinks: DataFrame | None = None
 
     A call beyond the limit drops the item, or, with truncate, the oldest site. Sinks (column node) are reached but not passed.
     """
-    e = edges.select(F.col("src").alias("__s"), F.col("dst").alias("__d"), "kind", "cs")
+    e = materialise(edges.select(F.col("src").alias("__s"), F.col("dst").alias("__d"), "kind", "cs").distinct(), "edges")
     seed = sources.select(F.col("node").alias("source"), "node", F.array().cast("array<bigint>").alias("ctx")).distinct()
 
     def step(new: DataFrame, _: DataFrame) -> DataFrame:
@@ -50,6 +50,27 @@ def forward(edges: DataFrame, sources: DataFrame, sinks: DataFrame | None = None
     return fixpoint(seed, step, label="forward")
 
 
+def reached(edges: DataFrame, sources: DataFrame, limit: int = CONTEXT) -> DataFrame:
+    """(node) that any of the sources (column node) reaches, as by forward() with truncate, in one search for all of them: what lies ahead of a node and a call string
+    does not depend on the source, so rows grow with the nodes, not with sources times nodes.
+
+    A call string that ends in another one of the node's fits no more returns than that one, before and after any edge, so only the shorter goes on.
+    """
+    e = materialise(edges.select(F.col("src").alias("__s"), F.col("dst").alias("__d"), "kind", "cs").filter("kind in ('intra', 'call', 'ret')").distinct(), "edges")
+    seed = sources.select("node", F.array().cast("array<bigint>").alias("ctx")).distinct()
+
+    def step(new: DataFrame, full: DataFrame) -> DataFrame:
+        hop = new.join(e, new["node"] == e["__s"])
+        fits = (F.col("kind") != "ret") | matches(F.col("ctx"), F.col("cs"))
+        then = F.when(F.col("kind") == "call", push(F.col("ctx"), F.col("cs"), limit)).when(F.col("kind") == "ret", pop(F.col("ctx"))).otherwise(F.col("ctx"))
+        found = hop.filter(fits).select(F.col("__d").alias("node"), then.alias("ctx")).distinct()
+        shorter = F.filter("all", lambda x: (F.size(x) < F.size("ctx")) & (F.slice(F.col("ctx"), F.size("ctx") - F.size(x) + 1, F.size(x)) == x))
+        known = full.unionByName(found).groupBy("node").agg(F.collect_set("ctx").alias("all"))
+        return found.join(known, "node").filter(F.size(shorter) == 0).select("node", "ctx")
+
+    return fixpoint(seed, step, label="reached").select("node").distinct()
+
+
 def backward_paths(edges: DataFrame, pairs: DataFrame, within: DataFrame | None = None, max_edges: int = PATH, max_paths: int = PATHS) -> DataFrame:
     """(source, sink, path_id, path, field_ctx): simple paths from pairs' sinks back to their sources, numbered by length and order of nodes.
 

@@ -242,15 +242,20 @@ def external_sinks(callsites: DataFrame, catalog: DataFrame, args: DataFrame, de
     return own.distinct(), edges.distinct()
 
 
+def against(edges: DataFrame) -> DataFrame:
+    """The edges (src, dst, kind, cs) turned round: a return is entered, a call left."""
+    turned = F.when(F.col("kind") == "call", "ret").when(F.col("kind") == "ret", "call").otherwise(F.col("kind"))
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), turned.alias("kind"), "cs")
+
+
 def backward(edges: DataFrame, starts: DataFrame, limit: int = reach.CONTEXT) -> DataFrame:
     """(source, node, ctx): what flows into each start (node) in matched contexts, against the edges (src, dst, kind, cs): a return is entered, a call left."""
-    turned = F.when(F.col("kind") == "call", "ret").when(F.col("kind") == "ret", "call").otherwise(F.col("kind"))
-    return reach.forward(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), turned.alias("kind"), "cs"), starts, limit=limit, truncate=True)
+    return reach.forward(against(edges), starts, limit=limit, truncate=True)
 
 
 def lock_objects(edges: DataFrame, locks: DataFrame, nodes: DataFrame, api: DataFrame) -> DataFrame:
     """(node): objects that are locked or unlocked: address nodes (node, kind, func) of the interface's functions (func) that flow into the arguments (node)."""
-    met = backward(edges, locks).select("node").distinct()
+    met = reach.reached(against(edges), locks)
     own = nodes.filter("kind = 'Addr'").join(api.select("func").distinct(), "func", "left_semi").select("node")
     return met.join(own, "node", "left_semi")
 

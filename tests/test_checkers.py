@@ -180,6 +180,20 @@ def test_locks_and_direct_returns(spark):
     assert rows(valueflow.direct_returns(e, frame([(1,)], "node long"), nodes)) == [(1, 3, 6)]
 
 
+def test_locks_of_many_arguments_are_one_search(spark, monkeypatch):
+    """What any argument leads to is as by a search for each, and no state is kept for each argument: random calls, returns and cycles."""
+    chance = random.Random(8)
+    seen, fixpoint = [], reach.fixpoint
+    monkeypatch.setattr(reach, "fixpoint", lambda seed, *a, **k: seen.append(seed.columns) or fixpoint(seed, *a, **k))
+    for _ in range(1):
+        e = {(chance.randrange(40), chance.randrange(40), chance.choice(["call", "ret", "ret", "intra"]), chance.randrange(3)) for _ in range(70)}
+        e = spark.createDataFrame(sorted(e), "src long, dst long, kind string, cs long")
+        locks, nodes = spark.createDataFrame([(k,) for k in range(0, 40, 9)], "node long"), spark.createDataFrame([(k, "Addr", "f") for k in range(40)], "node long, kind string, func string")
+        want = rows(valueflow.backward(e, locks).select("node").distinct())
+        seen.clear()
+        assert rows(valueflow.lock_objects(e, locks, nodes, spark.createDataFrame([("f",)], "func string"))) == want and seen == [["node", "ctx"]]
+
+
 def test_context_levels_and_maps(spark):
     frame = spark.createDataFrame
     edges = frame([("a", "b", "direct"), ("a", "x", "indirect"), ("a", "y", "indirect"), ("b", "c", "direct")], "caller string, callee string, kind string")
