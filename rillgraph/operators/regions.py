@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillgraph.operators.fixpoint import closure, fixpoint
 from rillgraph.sources.shared import materialise
 
+#: Objects of a set whose parts are listed, at most.
+SMALL = 8
+
 
 def signatures(psets: DataFrame) -> DataFrame:
     """(pset, objs): each points-to set of rows (pset, obj) as a sorted array."""
@@ -32,19 +37,34 @@ def disjoint_regions(psets: DataFrame, by: list[str] | None = None) -> DataFrame
     return digest.join(least, [*by, "a", "b", "n"]).select(*by, "region", "obj")
 
 
+def _parts(sig: Column, k: int) -> Column:
+    """All parts of k elements of a sorted array of at most SMALL."""
+    return F.filter(F.array(*(F.array(*(F.get(sig, F.lit(i)) for i in at)) for at in combinations(range(SMALL), k))), lambda x: F.get(x, F.lit(k - 1)).isNotNull())
+
+
 def superset_regions(psets: DataFrame) -> DataFrame:
     """(pset, rep): the largest points-to set that holds all of each one, the smallest name of equal ones; itself if none is larger.
 
-    Different sets only are compared, each with those that hold the object of it which the fewest sets hold.
+    Different sets only are compared. Sets of at most SMALL objects are found by their parts of one, two and three objects: sets as small as that are a part
+    themselves, so an aggregate settles them, and larger ones meet the sets that hold their three rarest objects. Sets of more than SMALL objects meet those
+    whose rarest object they hold.
     """
     named = signatures(psets)
-    each = named.groupBy("objs").agg(F.min("pset").alias("other"))
-    held = materialise(each.withColumn("sig", F.col("objs")).select("other", "sig", F.size("sig").alias("m"), F.explode("sig").alias("obj")), "sets")
+    each = materialise(named.groupBy("objs").agg(F.min("pset").alias("other")).select("other", F.col("objs").alias("sig"), F.size("objs").alias("m")), "sets")
+    held = each.select("other", "sig", "m", F.explode("sig").alias("obj"))
     often = held.groupBy("obj").agg(F.count("*").alias("often"))
-    rarest = held.join(often, "obj").groupBy("other").agg(F.min(F.struct("often", "obj")).alias("r"), F.first("sig").alias("own")).select(F.col("other").alias("name"), "own", F.col("r.obj").alias("obj"))
-    over = rarest.join(held, "obj").filter((F.col("m") >= F.size("own")) & (F.size(F.array_except("own", "sig")) == 0))
-    best = over.groupBy("name").agg(F.min_by("other", F.struct((-F.col("m")).alias("m"), F.col("other"))).alias("rep"))
-    return named.join(each, "objs").join(best, F.col("other") == F.col("name")).select("pset", "rep")
+    rare = held.join(often, "obj").groupBy("other").agg(F.sort_array(F.collect_list(F.struct("often", "obj"))).alias("r"), F.first("sig").alias("own"))
+    rare = materialise(rare.select(F.col("other").alias("name"), "own", F.sort_array(F.transform(F.slice("r", 1, 3), lambda x: x["obj"])).alias("part"), F.col("r")[0]["obj"].alias("obj")), "rarest")
+    holds = (F.col("m") >= F.size("own")) & (F.size(F.array_except("own", "sig")) == 0)
+    first = F.min_by(F.struct("m", "other"), F.struct((-F.col("m")).alias("m"), F.col("other"))).alias("t")
+    small, large = each.filter(F.col("m") <= SMALL), held.filter(F.col("m") > SMALL)
+    tops = small.select("other", "m", F.explode(F.concat(*(_parts(F.col("sig"), k) for k in (1, 2, 3)))).alias("part")).groupBy("part").agg(first)
+    few = rare.filter(F.size("own") <= 3).join(tops, "part").select("name", "t.m", "t.other")
+    triples = small.filter("m > 3").select("other", "m", "sig", F.explode(_parts(F.col("sig"), 3)).alias("part"))
+    more = rare.filter(F.size("own") > 3).join(triples, "part").filter(holds).select("name", "m", "other")
+    many = rare.join(large, "obj").filter(holds).select("name", "m", "other")
+    best = few.unionByName(more).unionByName(many).groupBy("name").agg(first).select("name", F.col("t.other").alias("rep"))
+    return named.join(each.select(F.col("sig").alias("objs"), "other"), "objs").join(best, F.col("other") == F.col("name")).select("pset", "rep")
 
 
 def regions_of(regions: DataFrame, psets: DataFrame) -> DataFrame:

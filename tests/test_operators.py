@@ -255,6 +255,17 @@ def test_guarded_release(spark):
     assert got == {(0, 1): "!v0", (0, 2): "v0", (0, 3): "true", (1, 3): "true", (2, 3): "true"}
 
 
+def test_supersets_of_frequent_objects(spark):
+    """Sets of one to twelve objects against all pairs; small ones meet by parts of three objects, not by one object that many sets hold."""
+    chance = random.Random(11)
+    sets = {k: frozenset(chance.sample(range(40), chance.choice([1, 2, 3, 4, 5, 6, 7] * 6 + [9, 12]))) for k in range(2000)}
+    df = spark.createDataFrame([(k, o) for k, x in sets.items() for o in x], "pset long, obj long")
+    want = {k: min((-len(y), j) for j, y in sets.items() if x <= y)[1] for k, x in sets.items()}
+    found = regions.superset_regions(df)
+    assert dict(rows(found)) == want
+    assert "part#" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_regions(spark):
     sets = {1: {1, 2, 3}, 2: {2, 3, 4}, 3: {2, 3}, 4: {9}, 5: {1, 2, 3}}
     df = spark.createDataFrame([(k, o) for k, s in sets.items() for o in s], "pset long, obj long")
