@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ from rillgraph.operators.reach import instruction_order
 FOUND = "source long, rule string, sink1 long, sink2 long"
 #: Whether the first path's point reaches, and dominates, the second's: by places in the list of paths.
 Relation = dict[tuple[int, int], tuple[bool, bool]]
+#: Sources that are worked through in one group, about.
+SOURCES = 256
 
 
 def split_point(a: list[tuple], b: list[tuple]) -> tuple[int, int] | None:
@@ -55,16 +58,27 @@ def split_point(a: list[tuple], b: list[tuple]) -> tuple[int, int] | None:
     return None if one is None or two is None else (one, two)
 
 
+def _dealt(df: DataFrame, at: int) -> DataFrame:
+    """df with a column bucket that puts at sources in one group, about: a group of its own for each source costs more than what is done in it."""
+    n = df.select("source").distinct().count()
+    return df.withColumn("bucket", F.pmod(F.xxhash64("source"), F.lit(max(1, n // at))))
+
+
 def diverging(paths: DataFrame) -> DataFrame:
     """(source, p, q, i1, i2): for paths p and q of a source, the nodes where they go their own ways; without pairs that a return rules out."""
-    import pandas as pd
 
-    def each(rows: pd.DataFrame) -> pd.DataFrame:
-        given = [(r.path, [(s["node"], s["func"], s["via"]) for s in r.steps]) for r in rows.sort_values("path").itertuples()]
-        out = [(rows["source"].iloc[0], p, q, *at) for p, a in given for q, b in given if p != q and (at := split_point(a, b)) is not None]
-        return pd.DataFrame(out, columns=["source", "p", "q", "i1", "i2"])
+    def each(group: pa.Table) -> pa.Table:
+        given: dict[int, list] = {}
+        for source, path, steps in zip(*(group[c].to_pylist() for c in ("source", "path", "steps")), strict=True):
+            given.setdefault(source, []).append((path, [(x["node"], x["func"], x["via"]) for x in steps]))
+        out = []
+        for source, own in given.items():
+            own.sort(key=lambda x: x[0])
+            for p, a in own:
+                out += [(source, p, q, *at) for q, b in own if p != q and (at := split_point(a, b)) is not None]
+        return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [()] * 5)], names=["source", "p", "q", "i1", "i2"])
 
-    return paths.select("source", "path", "steps").groupBy("source").applyInPandas(each, "source long, p long, q long, i1 long, i2 long")
+    return _dealt(paths.select("source", "path", "steps"), SOURCES).groupBy("bucket").applyInArrow(each, "source long, p long, q long, i1 long, i2 long")
 
 
 def related(paths: DataFrame, insts: DataFrame, block_reach: DataFrame, dom: DataFrame) -> DataFrame:
@@ -192,22 +206,32 @@ def found(sources: DataFrame, paths: DataFrame, relation: DataFrame, rules: list
 
     paths: (source, path, sink, role, field_ctx), with possible guards only; relation: as related() gives it.
     """
-    import pandas as pd
-
     chosen = [RULES[r] for r in rules]
     given = sources.select("source").distinct()
     if api is not None:
         given = given.join(api.select("source").distinct(), "source", "left_semi")
-    empty = given.select("source", *(F.lit(None).cast(t).alias(c) for c, t in (("path", "long"), ("sink", "long"), ("role", "string"), ("field_ctx", "string"))))
-    own = paths.join(given, "source", "left_semi").select("source", "path", "sink", "role", F.col("field_ctx").cast("string").alias("field_ctx"))
-
-    def each(key, rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        held = [(int(r.path), int(r.sink), r.role, r.field_ctx) for r in rows.dropna(subset=["path"]).sort_values("path").itertuples()]
-        rel = {(r.p, r.q): (r.reachable, r.dominates) for r in pairs.itertuples()}
-        out = [x for rule in chosen for x in _walked(rule, int(key[0]), [p for p in held if p[2] in rule.roles], rel)]
-        return pd.DataFrame(out, columns=["source", "rule", "sink1", "sink2"])
-
-    return own.unionByName(empty).groupBy("source").cogroup(relation.groupBy("source")).applyInPandas(each, FOUND)
+    given = _dealt(given, SOURCES)
+    empty = given.select("bucket", "source", *(F.lit(None).cast(t).alias(c) for c, t in (("path", "long"), ("sink", "long"), ("role", "string"), ("field_ctx", "string"))))
+    own = paths.join(given, "source").select("bucket", "source", "path", "sink", "role", F.col("field_ctx").cast("string").alias("field_ctx"))
+    related = relation.join(given, "source").select(F.col("bucket").alias("b"), "source", "p", "q", "reachable", "dominates")
+
+    def each(rows: pa.Table, pairs: pa.Table) -> pa.Table:
+        held: dict[int, list] = {}
+        rel: dict[int, Relation] = {}
+        for source, *path in zip(*(rows[c].to_pylist() for c in ("source", "path", "sink", "role", "field_ctx")), strict=True):
+            of = held.setdefault(source, [])
+            if path[0] is not None:
+                of.append(tuple(path))
+        for source, p, q, *x in zip(*(pairs[c].to_pylist() for c in ("source", "p", "q", "reachable", "dominates")), strict=True):
+            rel.setdefault(source, {})[p, q] = tuple(x)
+        out = []
+        for source, of in held.items():
+            of.sort(key=lambda x: x[0])
+            out += [x for rule in chosen for x in _walked(rule, source, [p for p in of if p[2] in rule.roles], rel.get(source, {}))]
+        columns = zip(*out, strict=True) if out else [()] * 4
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["source", "rule", "sink1", "sink2"])
+
+    return own.unionByName(empty).groupBy("bucket").cogroup(related.groupBy("b")).applyInArrow(each, FOUND)
 
 
 def run(config: AnalysisConfig, sources: DataFrame, paths: DataFrame, relation: DataFrame, api: DataFrame | None = None) -> DataFrame:

@@ -281,3 +281,21 @@ def test_memory_nodes_go(spark):
     assert (row.edges, row.direct, row.inter, row.nodes, row.top_out, row.cycles, row.largest_cycle) == (8, 1, 2, 9, 2, 0, 1)
     paths = spark.createDataFrame([(1, 8, [1, 3, 8]), (2, 8, [2, 8]), (1, 9, [1, 9])], "local long, pointer long, path array<long>")
     assert rows(valueflow.first_paths(paths.select("local", "pointer"), paths)) == sorted([(2, 8, [2, 8]), (1, 9, [1, 9])], key=str)
+
+
+def test_sources_share_groups(spark):
+    """Many sources go through the rules in few groups, each with its own paths and relation; a source without paths leaks."""
+    paths, insts = [], []
+    for k in range(600):
+        insts += [(10 * k + j, f"f{k}", 0, j) for j in range(4)]
+        paths += [(k, j, 10 * k + j, role, "", [(10 * k, f"f{k}", "intra"), (10 * k + j, f"f{k}", "intra")]) for j, role in ((1, "dealloc"), (2, "null_store" if k % 2 else "use"), (3, "dealloc")) if k % 3]
+    df, insts = spark.createDataFrame(paths, STEPS), spark.createDataFrame(insts, "inst long, func string, bb long, ord int")
+    apart = checkers.diverging(df)
+    rel = checkers.related(df, insts, spark.createDataFrame([], "src long, dst long"), spark.createDataFrame([], "func string, a long, b long"))
+    found = checkers.found(spark.range(600).select(F.col("id").alias("source")), df, rel, ["double_free", "use_after_free", "leak"])
+    want = [(k, "leak", k, k) for k in range(0, 600, 3)]
+    for k in range(600):
+        if k % 3 and not k % 2:
+            want += [(k, "double_free", 10 * k + 1, 10 * k + 3), (k, "use_after_free", 10 * k + 1, 10 * k + 2)]
+    assert rows(found) == sorted(want, key=str)
+    assert all("bucket" in x._jdf.queryExecution().optimizedPlan().toString() for x in (apart, found))
