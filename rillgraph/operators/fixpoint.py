@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillgraph.operators import small
-from rillgraph.sources.shared import drop, new_path
+from rillgraph.sources.shared import drop, materialise, new_path
 
 #: Rounds whose tables are merged into one: what is known is read from as many files at most.
 COMPACT = 16
@@ -76,14 +76,17 @@ def fixpoint(
 def closure(edges: DataFrame, seeds: DataFrame | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
     """Pairs (src, dst) joined by a path of one edge or more, from the seeds (column src) or from everywhere.
 
-    A graph of few edges (small.LOCAL_EDGES, counted) is walked from each seed. In a larger one, paths from seeds grow by an edge a round; from
+    A graph of few edges (small.LOCAL_EDGES, counted) is walked from each seed, one of several times as many (small.ARRAYS) from many at once, as arrays. In a larger one, paths from seeds grow by an edge a round; from
     everywhere they double: what the last round found, of more than half of the greatest length so far, is followed by all that is known,
     so rounds are the logarithm of the longest path.
     """
     held = small.edges_of(edges, src, dst)
     if held is not None:
         return small.walked(held, edges.select(src) if seeds is None else seeds.select(src), (src, dst)).select(src, dst)
-    first = edges.select(src, dst).distinct()
+    graph = small.arrays_of(edges, src, dst)
+    if graph is not None:
+        return small.spread(graph, edges.select(src) if seeds is None else seeds.select(src), (src, dst))
+    first = materialise(edges.select(src, dst).distinct(), "edges")
     if seeds is None:
         ahead = lambda full: full.withColumnsRenamed({src: "__mid", dst: "__to"})
         return fixpoint(first, lambda new, full: new.join(ahead(full), F.col(dst) == F.col("__mid")).select(src, F.col("__to").alias(dst)), label="closure")

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Edges of a graph that is broadcast, at most: a few MB.
 LOCAL_EDGES = 1 << 18
+#: Edges of a graph that is broadcast as arrays are at most so many times as many: 4 bytes for each, 16 for a node.
+ARRAYS = 8
 #: Rows that a task hands on at once, about.
 AT_ONCE = 1 << 16
 
@@ -37,6 +39,46 @@ def successors(edges: Iterable[tuple]) -> dict:
     return out
 
 
+def arrays_of(edges: DataFrame, src: str = "src", dst: str = "dst") -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """The distinct edges between longs, if there are at most ARRAYS * LOCAL_EDGES, as sorted nodes, where each one's successors begin, and these; else None."""
+    if any(edges.schema[c].dataType.typeName() != "long" for c in (src, dst)):
+        return None
+    found = edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).filter("s is not null and d is not null").distinct()
+    held = found.limit(ARRAYS * LOCAL_EDGES + 1).toArrow()
+    if held.num_rows > ARRAYS * LOCAL_EDGES:
+        return None
+    s, d = (held[c].to_numpy() for c in ("s", "d"))
+    nodes = np.unique(np.concatenate([s, d]))
+    s, d = np.searchsorted(nodes, s), np.searchsorted(nodes, d)
+    return nodes, np.concatenate([[0], np.cumsum(np.bincount(s, minlength=len(nodes)))]).astype(np.int64), d[np.argsort(s, kind="stable")].astype(np.int32)
+
+
+def spread(graph: tuple[np.ndarray, np.ndarray, np.ndarray], seeds: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """(seed, node): what each seed (one column) reaches by one edge or more in a graph as arrays_of() gives it; a task walks from many seeds at once."""
+    first = seeds.select(F.col(seeds.columns[0]).cast("long").alias(names[0])).filter(F.col(names[0]).isNotNull()).distinct()
+    shared = seeds.sparkSession.sparkContext.broadcast(graph)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, begin, to = shared.value
+        n = max(1, len(nodes))
+        for batch in batches:
+            given = batch.column(0).to_numpy()
+            for k in range(0, len(given), 256):
+                own = given[k : k + 256]
+                at = np.minimum(np.searchsorted(nodes, own), n - 1)
+                own, at = (x[nodes[at] == own] for x in (own, at)) if len(nodes) else (own[:0], at[:0])
+                key, found = np.arange(len(own), dtype=np.int64) * n + at, np.zeros(0, np.int64)
+                while len(key):
+                    who, v = key // n, key % n
+                    many = begin[v + 1] - begin[v]
+                    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin[v], many)
+                    key = np.setdiff1d(np.unique(np.repeat(who, many) * n + to[place]), found, assume_unique=True)
+                    found = np.union1d(found, key)
+                yield pa.RecordBatch.from_arrays([pa.array(own[found // n]), pa.array(nodes[found % n])], names=list(names))
+
+    return first.mapInArrow(walk, f"`{names[0]}` long, `{names[1]}` long")
+
+
 def walked(edges: list[tuple], seeds: DataFrame, names: tuple[str, str], depth: int | None = None) -> DataFrame:
     """(seed, node, depth): what each seed (one column) reaches by one edge or more, with the least number of edges, at most depth."""
     first = seeds.select(F.col(seeds.columns[0]).alias(names[0])).distinct()

@@ -255,6 +255,18 @@ def test_guarded_release(spark):
     assert got == {(0, 1): "!v0", (0, 2): "v0", (0, 3): "true", (1, 3): "true", (2, 3): "true"}
 
 
+def test_closure_as_arrays(spark, monkeypatch):
+    """A graph too large for the walk of one seed is walked from many at once, without rounds: cycles, loops, nulls, seeds outside the graph."""
+    chance = random.Random(12)
+    e = {(chance.randrange(300) - 50, chance.randrange(300) - 50) for _ in range(330)} | {(7, 7), (1000, 1001), (1001, 1000)}
+    df = spark.createDataFrame([*e, (None, 1), (1, None)], "src long, dst long")
+    seeds = spark.createDataFrame([(k,) for k in (*range(-60, 260), 1000, 5000, None)], "src long")
+    want = rows(fixpoint.closure(df, seeds)), rows(fixpoint.closure(df))
+    monkeypatch.setattr(small, "LOCAL_EDGES", 50)
+    monkeypatch.setattr(fixpoint, "fixpoint", None)
+    assert (rows(fixpoint.closure(df, seeds)), rows(fixpoint.closure(df))) == want
+
+
 def test_supersets_of_frequent_objects(spark):
     """Sets of one to twelve objects against all pairs; small ones meet by parts of three objects, not by one object that many sets hold."""
     chance = random.Random(11)
