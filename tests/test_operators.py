@@ -1,6 +1,7 @@
 """Operators on hand-written facts and on random graphs, against plain Python."""
 
 import random
+from collections import Counter
 from functools import reduce
 
 import pytest
@@ -278,6 +279,21 @@ def test_supersets_of_frequent_objects(spark):
     assert "part#" in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_supersets_without_broadcast_joins(spark):
+    """Tables that are small as files are not sent through the driver; sets of up to 30 objects, some on each side of the bound, copies, repeated rows and nulls."""
+    chance = random.Random(13)
+    sets = {k: frozenset(chance.sample(range(-20, 20), chance.choice([1, 2, 3, 5, 9, 13, 14, 21, 30]))) for k in range(-500, 700)}
+    sets |= {k + 5000: frozenset(list(sets[k])[: chance.randrange(1, 20)]) for k in range(600)} | {k + 9000: sets[k] for k in range(100)}
+    held = [(k, o) for k, x in sets.items() for o in x]
+    df = spark.createDataFrame(held + held[:500] + [(None, 1), (99999, None)], "pset long, obj long")
+    want = {k: min((-len(y), j) for j, y in sets.items() if x <= y)[1] for k, x in sets.items()}
+    assert regions.SMALL <= regions.bound(Counter(len(x) for x in sets.values())) < 21
+    found = regions.superset_regions(df)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert dict(rows(found)) == want
+    assert dict(rows(regions.superset_regions(df.select(F.col("pset").cast("string"), F.col("obj").cast("string"))))) == {str(k): min((-len(y), str(j)) for j, y in sets.items() if x <= y)[1] for k, x in sets.items()}
+
+
 def test_regions(spark):
     sets = {1: {1, 2, 3}, 2: {2, 3, 4}, 3: {2, 3}, 4: {9}, 5: {1, 2, 3}}
     df = spark.createDataFrame([(k, o) for k, s in sets.items() for o in s], "pset long, obj long")
